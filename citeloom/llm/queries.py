@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citeloom.llm import near_duplicates
+from citeloom.llm import canonical_text, mixing, near_duplicates, tokenizer
 from citeloom.sources.tables import table
 
 
@@ -17,5 +20,39 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "ref_entries", "entry_key", "raw_text"), "entry_key", "raw_text")[0]
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
+FIELDS_6 = {
+    "text_spans": ("span_key", "text"),
+    "works": ("work_key", "title"),
+    "ref_entries": ("entry_key", "csl.title"),
+    "raw_entries": ("raw_key", "text"),
+}
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [canonical_text.cases(table(spark, sf_dir, t, key, F.col(c).alias("value")), t, key, F.col("value")) for t, (key, c) in FIELDS_6.items()]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of problem 6 in its one form, a row for each key."""
+    parts = [
+        table(spark, sf_dir, t, F.lit(t).alias("tbl"), F.col(key).alias("row_key"), canonical_text.canonical_column(F.col(c)).alias("text"))
+        for t, (key, c) in FIELDS_6.items()
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("tbl", "row_key").agg(F.first("text").alias("text"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p6_found, p6_canonical, p7_ids, p8_mix, p8_shares)}
 SQL: dict[str, str] = {}
