@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import canonical_text, mixing, near_duplicates, tokenizer
+from citeloom.llm import canonical_text, mixing, name_variants, near_duplicates, tokenizer
 from citeloom.sources.tables import table
 
 
@@ -20,6 +20,18 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "ref_entries", "entry_key", "raw_text"), "entry_key", "raw_text")[0]
 
 
+NAMES = ("name_key", "family", "given", "literal")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.name_pairs(table(spark, sf_dir, "csl_names", *NAMES))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a name: its group and the number of verified links of its spelling."""
+    return name_variants.name_groups(table(spark, sf_dir, "csl_names", *NAMES))
+
+
 FIELDS_6 = {
     "text_spans": ("span_key", "text"),
     "works": ("work_key", "title"),
@@ -54,5 +66,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p6_found, p6_canonical, p7_ids, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_groups, p6_found, p6_canonical, p7_ids, p8_mix, p8_shares)}
 SQL: dict[str, str] = {}
