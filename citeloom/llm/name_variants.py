@@ -12,8 +12,8 @@ Method
     4. Candidates are verified by a soft token similarity weighted by rarity, where equal words, typos,
        nicknames, initials, abbreviations and acronyms count as matches, and given names or words of an
        organisation's subject that contradict each other veto the pair.
-    5. A name with initials only, whose candidates have different full given names, is linked to none of
-       those.  What is left is closed by connected components.
+    5. A name with initials only, whose candidates contradict each other, is linked to those that share
+       its second initial, or else to none.  What is left is closed by connected components.
 
 Defined results: a row with no letters in any field is in no group; nulls count as empty; repeated rows of
 a key count once; empty tables give empty results; other columns are ignored.
@@ -57,16 +57,18 @@ KINDS = (
 KIND_ABBREVIATIONS = frozenset("acad assoc cent ctr coll corp dept fac found hosp inst lab labs lib mus obs org sch soc univ".split())
 # Short forms of given names, each line a full form with its short forms.
 NICKNAMES = """
-alexander alex sandy xander|alexandra lexi|andrew andy drew|anthony tony|benjamin ben benny|catherine cathy|charles charlie chuck chas|christopher chris kit
+alexander alex sandy xander sasha|alexandra lexi|andrew andy drew|anthony tony|benjamin ben benny|catherine cathy|charles charlie chuck chas|christopher chris kit
 christine chrissy tina|daniel dan danny|david dave davy|deborah deb debbie|dorothy dot dottie dolly|edward ed eddie ted ned|elizabeth liz beth betty lizzie eliza
 francisco paco pancho|frederick fred freddie freddy|gabriel gabe|george geordie|gregory greg|guillermo memo|harold hal harry|henry hank|jacob jake|james jim jimmy jamie
 jennifer jen jenny|jonathan jon|john johnny jack|joseph joe joey|joshua josh|katherine kate kathy katie|kenneth ken kenny|lawrence larry laurie|leonard len lenny
 margaret maggie peggy meg marge|matthew matt|michael mike mick mickey|mikhail misha|nicholas nick nicky|patricia pat patty tricia trish|patrick paddy|peter pete
 philip phil|raymond ray|rebecca becky becca|richard rick dick rich ricky|robert bob rob bobby robbie|ronald ron ronnie|samuel sam sammy|stephen steve|steven
 susan sue susie suzy|theodore theo teddy|thomas tom tommy|timothy tim|victoria vicky vic tori|vincent vince vinny|william bill will billy willy liam|zachary zach zack
-esteban estebe|ekaterina katya|oksana ksenia|rajesh raj|vikram vik|yusuf joe|zofia zosia|bogdan bodek|ulrike uli|johannes hannes|wanda wandzia
+ekaterina katya|rajesh raj|vikram vik|zofia zosia|ulrike uli|johannes hannes hans
+abigail abby gail|gerald gerry jerry|ronald ron|donald don donnie|arthur art|walter walt|nathaniel nate nathan|jeffrey jeff|terence terry|martin marty
 """
 NICK = {short: line.split()[0] for row in NICKNAMES.split("\n") for line in row.split("|") if line for short in line.split()[1:]}
+_WHOLE = frozenset(NICK) | frozenset(NICK.values())  # given names, which no particle is cut from
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = tuple(KINDS)
 
@@ -113,7 +115,8 @@ def tokens_of(family: str | None, given: str | None, literal: str | None) -> lis
     shouting = whole.upper() == whole
     words = [_WORD.findall(_plain(f)) for f in fields]
     n_long = sum(len(w) > 3 for ws in words for w in ws)
-    for ws in words:
+    for field, ws in zip(fields, words):
+        may_be_glued = field is not given
         for w in ws:
             low = w.lower()
             if low in TITLES and n_long:
@@ -126,7 +129,7 @@ def tokens_of(family: str | None, given: str | None, literal: str | None) -> lis
             elif w.isupper() and len(w) <= 5 and low not in NICK and n_long and (not shouting or len(w) <= 2):
                 out.append(f"a:{low}")
             else:
-                out.append(f"w:{GLUED.sub('', low)}")
+                out.append(f"w:{low if not may_be_glued or low in _WHOLE or is_kind(low) else GLUED.sub('', low)}")
     return out
 
 
@@ -166,8 +169,31 @@ def _givens(tokens: list[str], family: str) -> list[str]:
     return out
 
 
+def consistent_neighbours(own: str, others: list[str]) -> list[str]:
+    """Of the given names a name with initials could have, those that do not contradict each other.
+
+    If they do, those that share its second initial; if these contradict each other too, only equals.
+    """
+    mine = own.split()
+    parsed = {o: o.split() for o in others}
+
+    def agree(group: list[str]) -> bool:
+        return all(same_given(parsed[x], parsed[y]) for i, x in enumerate(group) for y in group[:i] if parsed[x] and parsed[y])
+
+    if agree(others):
+        return others
+    second = [o for o in others if len(mine) > 1 and len(parsed[o]) > 1]
+    if second and agree(second):
+        return second
+    return [o for o in others if o == own]
+
+
 def _abbreviates(short: str, long: str) -> bool:
-    return len(short) >= 2 and long.startswith(short)
+    """The start of the word; for a kind of organisation, some of its letters in order from the first."""
+    if len(short) < 2 or len(short) >= len(long) or short[0] != long[0]:
+        return False
+    letters = iter(long)
+    return long.startswith(short) or (short in KIND_ABBREVIATIONS and is_kind(long) and all(c in letters for c in short))
 
 
 def _content_matches(a: list[str], b: list[str]) -> bool:
@@ -286,21 +312,25 @@ def name_groups(names: DataFrame, p: Params = Params()) -> DataFrame:
                 wa, wb = dict(zip(r.names_a, r.weights_a)), dict(zip(r.names_b, r.weights_b))
                 ta, tb = list(r.tokens_a), list(r.tokens_b)
                 va, vb = ([w.get(t[2:], 0.5) if t[0] == "w" else 0.5 for t in ts] for ts, w in ((ta, wa), (tb, wb)))
-                if similarity(ta, tb, r.t, r.u, va, vb) < p.score:
-                    continue
-                lead_a, lead_b = dict(zip(r.names_a, r.leads_a)), dict(zip(r.names_b, r.leads_b))
-                ga, gb = _givens(ta, f"w:{r.t}"), _givens(tb, f"w:{r.u}")
-                first = lambda g, lead: _full(lead.get(g[0][2:], g[0][2:])) if g and g[0][0] == "w" else None
-                fa, fb = first(ga, lead_a), first(gb, lead_b)
-                out.append((r.a, r.b, fb if fa is None else None, fa if fb is None else None))
-            yield pd.DataFrame(out, columns=["a", "b", "full_for_a", "full_for_b"])
+                if similarity(ta, tb, r.t, r.u, va, vb) >= p.score:
+                    org = any(t[0] == "w" and is_kind(t[2:]) for t in ta + tb)
+                    lead_a, lead_b = dict(zip(r.names_a, r.leads_a)), dict(zip(r.names_b, r.leads_b))
+                    ga, gb = ("" if org else " ".join(f"{x[:2]}{_full(lead.get(x[2:], x[2:]))}" for x in _givens(ts, f"w:{k}")) for ts, k, lead in ((ta, r.t, lead_a), (tb, r.u, lead_b)))
+                    out.append((r.a, r.b, ga, gb))
+            yield pd.DataFrame(out, columns=["a", "b", "ga", "gb"])
 
     verified = cand.select("a", "b", "t", "u", *[c for c in left.columns + right.columns if not c.startswith("id_")])
-    good = materialize(verified.mapInPandas(verify, "a long, b long, full_for_a string, full_for_b string").distinct(), "names-good")
-    seen = good.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("full_for_a").alias("f")), F.struct(F.col("b").alias("id"), F.col("full_for_b").alias("f"))))).filter("f IS NOT NULL")
-    torn = seen.distinct().groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
-    edges = good.join(torn.select(F.col("id").alias("a"), F.lit(True).alias("torn_a")), "a", "left").join(torn.select(F.col("id").alias("b"), F.lit(True).alias("torn_b")), "b", "left")
-    edges = edges.filter("NOT (torn_a IS NOT NULL AND full_for_a IS NOT NULL) AND NOT (torn_b IS NOT NULL AND full_for_b IS NOT NULL)").select("a", "b").distinct()
+    good = materialize(verified.mapInPandas(verify, "a long, b long, ga string, gb string").dropDuplicates(["a", "b"]), "names-good")
+    ends = good.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("ga").alias("own"), F.col("gb").alias("other")), F.struct(F.col("b").alias("id"), F.col("gb").alias("own"), F.col("ga").alias("other")))))
+    vague = ends.filter("own LIKE 'i:%'").groupBy("id", "own").agg(F.collect_set("other").alias("others"))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def to_keep(own: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([consistent_neighbours(a, list(b)) for a, b in zip(own, others)])
+
+    allowed = vague.select("id", to_keep("own", "others").alias("keep"))
+    edges = good.join(allowed.select(F.col("id").alias("a"), F.col("keep").alias("keep_a")), "a", "left").join(allowed.select(F.col("id").alias("b"), F.col("keep").alias("keep_b")), "b", "left")
+    edges = edges.filter("(keep_a IS NULL OR array_contains(keep_a, gb)) AND (keep_b IS NULL OR array_contains(keep_b, ga))").select("a", "b").distinct()
     edges = materialize(edges, "names-edges")
     comp = connected_components(edges, "a", "b")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
