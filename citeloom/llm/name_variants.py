@@ -46,7 +46,7 @@ class Params:
 # Words that carry no identity.
 TITLES = frozenset("dr prof professor mr mrs ms miss sir dame phd md msc bsc jr sr ii iii iv".split())
 PARTICLES = frozenset("van von der den de di da du del della la le ter ten zu zur do dos das st".split())
-FUNCTION_WORDS = frozenset("of for the and at in on to a an und".split())
+FUNCTION_WORDS = frozenset("of for the and at in on to an und".split())
 GLUED = re.compile(r"^(?:vander|vonder|vande|dela|della|van|von|ter|ten|di|de|da|du)(?=[a-z]{5})")
 # Kinds of organisations; a name with one of these words or its abbreviation is an organisation.
 KINDS = (
@@ -122,8 +122,7 @@ def tokens_of(family: str | None, given: str | None, literal: str | None) -> lis
             if low in TITLES and n_long:
                 continue
             if len(w) == 1:
-                if low != "a" or w == "A":
-                    out.append(f"i:{low}")
+                out.append(f"i:{low}")
             elif low in PARTICLES or low in FUNCTION_WORDS:
                 continue
             elif w.isupper() and len(w) <= 5 and low not in NICK and n_long and (not shouting or len(w) <= 2):
@@ -315,14 +314,14 @@ def name_groups(names: DataFrame, p: Params = Params()) -> DataFrame:
                 if similarity(ta, tb, r.t, r.u, va, vb) >= p.score:
                     org = any(t[0] == "w" and is_kind(t[2:]) for t in ta + tb)
                     lead_a, lead_b = dict(zip(r.names_a, r.leads_a)), dict(zip(r.names_b, r.leads_b))
-                    ga, gb = ("" if org else " ".join(f"{x[:2]}{_full(lead.get(x[2:], x[2:]))}" for x in _givens(ts, f"w:{k}")) for ts, k, lead in ((ta, r.t, lead_a), (tb, r.u, lead_b)))
+                    ga, gb = ("#" if org else " ".join(f"{x[:2]}{_full(lead.get(x[2:], x[2:]))}" for x in _givens(ts, f"w:{k}")) for ts, k, lead in ((ta, r.t, lead_a), (tb, r.u, lead_b)))
                     out.append((r.a, r.b, ga, gb))
             yield pd.DataFrame(out, columns=["a", "b", "ga", "gb"])
 
     verified = cand.select("a", "b", "t", "u", *[c for c in left.columns + right.columns if not c.startswith("id_")])
     good = materialize(verified.mapInPandas(verify, "a long, b long, ga string, gb string").dropDuplicates(["a", "b"]), "names-good")
     ends = good.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("ga").alias("own"), F.col("gb").alias("other")), F.struct(F.col("b").alias("id"), F.col("gb").alias("own"), F.col("ga").alias("other")))))
-    vague = ends.filter("own LIKE 'i:%'").groupBy("id", "own").agg(F.collect_set("other").alias("others"))
+    vague = ends.filter("own = '' OR own LIKE 'i:%'").groupBy("id", "own").agg(F.collect_set("other").alias("others"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def to_keep(own: pd.Series, others: pd.Series) -> pd.Series:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import canonical_text, mixing, name_variants, near_duplicates, tokenizer
+from citeloom.llm import canonical_text, entity_matching, mixing, name_variants, near_duplicates, tokenizer
 from citeloom.sources.tables import table
 
 
@@ -32,6 +32,18 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.name_groups(table(spark, sf_dir, "csl_names", *NAMES))
 
 
+WORKS = ("work_key", "service", "title", "author", "issued", "volume", "page")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_matches(spark, sf_dir).select("entry_key", "work_key")
+
+
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each match with the rule that made it and its confidence."""
+    return entity_matching.match(table(spark, sf_dir, "ref_entries", "entry_key", "csl"), table(spark, sf_dir, "works", *WORKS))
+
+
 FIELDS_6 = {
     "text_spans": ("span_key", "text"),
     "works": ("work_key", "title"),
@@ -66,5 +78,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_groups, p6_found, p6_canonical, p7_ids, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_groups, p5_found, p5_matches, p6_found, p6_canonical, p7_ids, p8_mix, p8_shares)}
 SQL: dict[str, str] = {}
