@@ -262,7 +262,7 @@ def token_neighbours(tokens: DataFrame, p: Params) -> DataFrame:
     prefix = ranked.select("t", "n", F.inline(F.slice("all", F.lit(1), (size - F.ceil(size * p.token_jaccard) + 1).cast("int"))))
     prefix = prefix.select("t", "n", "g", "pos")
     right = prefix.select(F.col("t").alias("u"), F.col("n").alias("m"), F.col("g").alias("g"), F.explode(F.array(F.col("pos") - 1, "pos", F.col("pos") + 1)).alias("pos"))
-    met = prefix.join(right, ["g", "pos"]).filter("t < u AND abs(n - m) <= 2").select("t", "u").distinct()
+    met = prefix.join(right, ["g", "pos"]).filter("t < u AND abs(n - m) <= 2 AND levenshtein(t, u, 3) >= 0").select("t", "u").distinct()
 
     @F.pandas_udf(T.BooleanType())
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
