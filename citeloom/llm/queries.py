@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import canonical_text, entity_matching, mixing, name_variants, near_duplicates, tokenizer
+from citeloom.llm import canonical_text, entity_matching, mixing, name_variants, near_duplicates, scan_repair, tokenizer
 from citeloom.sources.tables import table
 
 
@@ -32,6 +32,24 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.name_groups(table(spark, sf_dir, "csl_names", *NAMES))
 
 
+def _repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.repair(*(table(spark, sf_dir, t) for t in ("text_lines", "sections", "raw_entries")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.found(_repairs(spark, sf_dir))
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line, paragraph and entry as repaired (null: furniture)."""
+    return _repairs(spark, sf_dir).select("tbl", "row_key", "para_ix", "repaired")
+
+
+def p4_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running text of each scanned page."""
+    return scan_repair.page_texts(_repairs(spark, sf_dir))
+
+
 WORKS = ("work_key", "service", "title", "author", "issued", "volume", "page")
 
 
@@ -78,5 +96,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_groups, p5_found, p5_matches, p6_found, p6_canonical, p7_ids, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_groups, p4_found, p4_repaired, p4_page_texts, p5_found, p5_matches, p6_found, p6_canonical, p7_ids, p8_mix, p8_shares)}
 SQL: dict[str, str] = {}
