@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import canonical_text, entity_matching, mixing, name_variants, near_duplicates, scan_repair, tokenizer
+from citeloom.llm import canonical_text, entity_matching, mixing, name_variants, near_duplicates, scan_repair, text_quality, tokenizer
 from citeloom.sources.tables import table
 
 
@@ -96,5 +96,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_groups, p4_found, p4_repaired, p4_page_texts, p5_found, p5_matches, p6_found, p6_canonical, p7_ids, p8_mix, p8_shares)}
+DOCUMENTS = ("doc_id", "text", "lang")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality.found(table(spark, sf_dir, "documents", *DOCUMENTS), table(spark, sf_dir, "common_words"))
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics with its outlier score."""
+    return text_quality.scored(table(spark, sf_dir, "documents", *DOCUMENTS), table(spark, sf_dir, "common_words"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_groups, p4_found, p4_repaired, p4_page_texts, p5_found, p5_matches, p6_found, p6_canonical, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)}
 SQL: dict[str, str] = {}
