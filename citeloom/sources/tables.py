@@ -12,14 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -
     return df.select(*columns) if columns else df
 
 
-def once(df: DataFrame, key: str) -> DataFrame:
-    """One row for each ``key``; redelivered rows carry equal content, so any of them will do.
+def once(df: DataFrame) -> DataFrame:
+    """Rows that were delivered twice, once.
 
-    The first value of every column is taken as one struct: aggregation combines on the map side, and
-    only a single copy of each row of a file is shuffled.
+    A redelivered row equals the first in all columns, so equal rows collapse; hash aggregation does it on
+    the map side first, and no value has to be carried through a sort.
     """
-    rest = [c for c in df.columns if c != key]
-    if not rest:
-        return df.distinct()
-    packed = df.groupBy(key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row"))
-    return packed.select(key, *[F.col("_row").getField(c).alias(c) for c in rest]).select(*df.columns)
+    return df.distinct()
