@@ -106,7 +106,7 @@ def drop_foreign_superscripts(spans: DataFrame, styles: DataFrame) -> DataFrame:
 def link_numbers(markers: DataFrame, entries: DataFrame) -> DataFrame:
     """(marker_key, number, entry_key): entry_key is null where no entry has the number."""
     numbers = tx.number_list(F.regexp_extract("raw", tx.BRACKET, 1))
-    wanted = markers.filter(F.col("raw").rlike(tx.BRACKET)).select("marker_key", "paper_id", F.explode(F.array_distinct(numbers)).cast("long").alias("number"))
+    wanted = markers.filter(F.col("raw").rlike(tx.BRACKET)).select("marker_key", "paper_id", F.explode(F.array_distinct(numbers)).alias("number")).withColumn("number", F.col("number").cast("long"))
     last = entries.filter("marker IS NOT NULL").groupBy("paper_id", "marker").agg(F.max_by("entry_key", F.struct("entry_ix", "entry_key")).alias("entry_key"))
     return wanted.join(last, (wanted.paper_id == last.paper_id) & (F.col("number").cast("string") == last.marker), "left").select("marker_key", "number", "entry_key")
 
