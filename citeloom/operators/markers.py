@@ -126,7 +126,7 @@ def link_author_years(markers: DataFrame, entries: DataFrame) -> DataFrame:
         .distinct()
     )
     spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\d]+", " "), F.lit(" "))
-    e = entries.select("entry_key", "paper_id", F.col("csl.issued")[0][0].alias("year"), F.col("csl.author").alias("author"), spaced(F.lower(F.substring("raw_text", 1, 120))).alias("head"))
+    e = entries.select("entry_key", "paper_id", F.expr("try_element_at(try_element_at(csl.issued, 1), 1)").alias("year"), F.col("csl.author").alias("author"), spaced(F.lower(F.substring("raw_text", 1, 120))).alias("head"))
     name = spaced(F.col("surname"))
     fits = F.exists(F.coalesce("author", F.array()), lambda a: F.coalesce((F.lower(a["family"]) == F.col("surname")) | F.contains(spaced(F.lower(a["literal"])), name), F.lower(a["family"]) == F.col("surname"), F.contains(spaced(F.lower(a["literal"])), name), F.lit(False)))
     hit = cites.join(e, ["paper_id", "year"]).filter(fits | F.coalesce(F.contains("head", name), F.lit(False))).groupBy("marker_key", "surname", "year").agg(F.count("*").alias("n"), F.min("entry_key").alias("only"))

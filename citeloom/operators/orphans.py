@@ -31,8 +31,8 @@ def parent_keys(entries: DataFrame) -> DataFrame:
     kind 'id' is the entry id, 'no' its list marker, 'ay' the first author's family with the year.
     A null paper, key or recorded_at yields no row.  Redelivered rows collapse.
     """
-    family = F.col("csl.author")[0]["family"]
-    year = F.col("csl.issued")[0][0]
+    family = F.get(F.col("csl.author"), F.lit(0))["family"]
+    year = F.expr("try_element_at(try_element_at(csl.issued, 1), 1)")
     kinds = F.array(
         F.struct(F.lit("id").alias("kind"), _tidy(F.col("id")).alias("ref_key")),
         F.struct(F.lit("no").alias("kind"), _tidy(F.col("marker")).alias("ref_key")),
