@@ -1,10 +1,11 @@
 """Matching reference entries with source records: a cascade of deterministic rules.
 
 Method
-    Each rule is an exact join on one combination of attributes, from the strongest to the weakest (the
-    combinations are listed in RULES).  A rule's candidates must pass the exact check ``agree``; entries
-    that a rule resolves for a service leave the cascade (anti-join) before the next rule runs for that
-    service.  Several records of one publication at one service all match.
+    The rules are exact joins on combinations of attributes, ever weaker, in three passes (PASSES).  A
+    pass joins hashed keys; its candidates must pass the exact check ``agree``.  What a pass resolves, an
+    entry for a service, leaves the cascade by an anti-join before the next pass, and of several rules
+    that resolve the same the strongest counts.  Records of one publication at one service that the same
+    rule finds all match.
 
     Confidence is the rule's precision on labelled pairs.  The labels come from attributes that no rule
     joins on: where both sides have a volume and a first page, a pair is true if both agree and false if
@@ -19,20 +20,17 @@ contradict; repeated rows of a key count once; empty tables give empty results;
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from citeloom.llm.canonical_text import canonical
+from citeloom.llm.canonical_text import canonical_column
 from citeloom.llm.name_variants import close_tokens
 from citeloom.session import materialize
-from citeloom.sources.spread import spread
 
 
 @dataclass(frozen=True)
@@ -41,109 +39,59 @@ class Params:
     prior_false: float = 1.0
     sure_title: float = 0.86
     fair_title: float = 0.7
+    shared_words: float = 0.45
     poor_title: float = 0.55  # with all authors and the year the same
 
 
-#: name of the rule: attributes that must be equal, strongest first.
-RULES: dict[str, tuple[str, ...]] = {
-    "title_author_year": ("title_key", "first_author", "year"),
-    "title_any_author": ("title_key", "any_author"),
-    "title_year": ("long_title_key", "year"),
-    "authors_year": ("author_pair", "near_year"),
-    "author_year": ("any_author", "near_year"),
-    "author_phrase": ("any_author", "phrase"),
-    "author_edge_word": ("any_author", "edge_word"),
-    "phrase_year": ("phrase", "near_year"),
-    "long_phrase": ("long_phrase",),
-}
+#: The passes, each with its rules from strong to weak: attributes that must be equal.  A rule's number is its place.
+PASSES: tuple[tuple[tuple[str, ...], ...], ...] = (
+    (("title", "first author", "year"), ("title", "any author"), ("title of four words",)),
+    (("pair of authors",), ("any author", "year within one"), ("only author", "edge word of title")),
+    (("three words of title", "year"), ("four words of title",)),
+)
+RULE_NAMES = [" + ".join(r) for rules in PASSES for r in rules]
 # Words that tell titles apart too little to be part of a phrase.
 STOP_WORDS = frozenset("a an the of in on for with to and or from by as at is does do study case approach evidence towards toward using".split())
-_WORD = re.compile(r"[^\W_]+")
-
-
-def plain(s: str | None) -> str:
-    """Lower case, canonical, without accents."""
-    if not s:
-        return ""
-    s = unicodedata.normalize("NFKD", canonical(s).replace("&", " and ").lower())
-    return "".join(c for c in s if not unicodedata.combining(c)).replace("ß", "ss").replace("ø", "o").replace("ł", "l")
-
-
-def family_of(author) -> str:
-    """The family name, without particles' blanks: 'van der Ber' -> 'vanderber'; of a literal its last words."""
-    if author is None:
-        return ""
-    family, literal = author["family"], author["literal"]
-    if family:
-        return "".join(_WORD.findall(plain(family)))
-    words = plain(literal).replace(".", " ").split()
-    if literal and "," in literal:
-        words = plain(literal.split(",")[0]).split()
-        return "".join(w for x in words for w in _WORD.findall(x))
-    out: list[str] = []
-    for w in reversed(words):
-        w = "".join(_WORD.findall(w))
-        if out and w not in PARTICLES:
-            break
-        if len(w) > 1:
-            out.insert(0, w)
-    return "".join(out)
-
-
-PARTICLES = frozenset("van von der den de di da du del la le ter ten zu".split())
-
-
-def attributes(title: str | None, author, issued) -> dict:
-    words = _WORD.findall(plain(title))
-    key = "".join(words)
-    content = [w for w in words if w not in STOP_WORDS and len(w) > 2]
-    families = [f for f in map(family_of, author if author is not None else ()) if f]
-    year = None
-    if issued is not None and len(issued) and issued[0] is not None and len(issued[0]) and issued[0][0] is not None:
-        year = int(issued[0][0])
-    pairs = sorted({"|".join(sorted((a, b))) for i, a in enumerate(families) for b in families[:i] if a != b})
-    phrases = sorted({" ".join(sorted(content[i : i + 3])) for i in range(len(content) - 2)})
-    long_phrases = sorted({" ".join(sorted(content[i : i + 4])) for i in range(len(content) - 3)})
-    return {
-        "title_key": key or None,
-        "long_title_key": key if len(content) >= 4 else None,
-        "year": year,
-        "first_author": families[0] if families else None,
-        "any_author": sorted(set(families)),
-        "author_pair": pairs,
-        "near_year": [year],
-        "phrase": phrases,
-        "long_phrase": long_phrases,
-        "edge_word": sorted({*content[:2], *content[-1:]}),
-        "families": families,
-        "words": words,
-    }
-
-
-_ATTRIBUTES = T.StructType(
-    [T.StructField("id", T.LongType())]
-    + [T.StructField(c, T.StringType()) for c in ("title_key", "long_title_key", "first_author")]
-    + [T.StructField("year", T.IntegerType())]
-    + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("any_author", "author_pair", "phrase", "long_phrase", "edge_word", "families", "words")]
-    + [T.StructField(c, T.StringType()) for c in ("volume", "page", "service")]
-)
+PARTICLES = "van|von|der|den|de|di|da|du|del|della|la|le|ter|ten|zu"
+# Accented small letters and their plain forms, from the Unicode data that Python carries.
+_ACCENTED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xE0, 0x250) if chr(c).islower() and unicodedata.normalize("NFD", chr(c))[0] in "abcdefghijklmnopqrstuvwxyz"} | {"ø": "o", "ł": "l", "đ": "d"}
 
 
-def _attributes(df: DataFrame) -> DataFrame:
-    """df: id, title, author, issued, volume, page, service."""
+def _plain(c: Column) -> Column:
+    """Lower case without accents; ASCII, told by its length in bytes, skips the table of accents."""
+    low = F.replace(F.lower(c), F.lit("&"), F.lit(" and "))
+    bare = F.translate(F.regexp_replace(F.replace(low, F.lit("ß"), F.lit("ss")), r"\p{M}+", ""), "".join(_ACCENTED), "".join(_ACCENTED.values()))
+    return F.when(F.octet_length(c) == F.length(c), low).otherwise(bare)
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                a = attributes(r.title, r.author, r.issued)
-                page = re.match(r"\d+", r.page or "")
-                rows.append([r.id] + [a.get(f.name) if f.name in a else {"volume": r.volume, "page": page.group() if page else None, "service": r.service}[f.name] for f in _ATTRIBUTES.fields[1:]])
-            out = pd.DataFrame(rows, columns=_ATTRIBUTES.names)
-            out["year"] = out["year"].astype("Int32")
-            yield out
 
-    return df.select("id", "title", "author", "issued", "volume", "page", "service").mapInPandas(run, _ATTRIBUTES)
+def _families(author: Column) -> Column:
+    """Family names without blanks, joined by '|'.
+
+    Of a literal what stands before a comma, or its last word with particles.  The whole list is one string
+    while it is rewritten (a literal is marked '~'), so that every step is one compiled expression.
+    """
+    of = lambda a: F.coalesce(F.when(F.trim(a["family"]) != "", a["family"]), F.concat(F.lit("~"), a["literal"]))
+    s = _plain(F.concat_ws("|", F.transform(author, of)))
+    named = F.regexp_replace(s, r"~([^|,]*),[^|]*", "$1")
+    named = F.regexp_replace(named, r"(~[^|]*?)(?:\s+\p{L}\.?)+\s*(?=\||$)", "$1")
+    named = F.regexp_replace(named, rf"~(?:[^|]*?[\s.])?((?:(?:{PARTICLES})\s+)*[^\s.|~]+)\s*(?=\||$)", "$1")
+    s = F.when(F.contains(s, F.lit("~")), named).otherwise(s)
+    s = F.regexp_replace(s, r"[^a-z0-9|]+", "")
+    return F.regexp_replace(F.regexp_replace(s, r"(?<=^|\|)[a-z0-9]?(?:\||$)", ""), r"\|$", "")
+
+
+def _attributes(df: DataFrame) -> DataFrame:
+    """df: id, title, author, issued, volume, page, service -> id, title (plain words), families, year, volume, page, service."""
+    title = F.trim(F.regexp_replace(_plain(canonical_column(F.col("title"))), r"[^\p{L}\p{N}]+", " "))
+    return df.select(
+        "id",
+        F.coalesce(title, F.lit("")).alias("title"),
+        F.coalesce(_families(F.col("author")), F.lit("")).alias("families"),
+        F.expr("try_element_at(try_element_at(issued, 1), 1)").cast("int").alias("year"),
+        "volume",
+        F.nullif(F.regexp_extract("page", r"^\D*(\d+)", 1), F.lit("")).alias("page"),
+        "service",
+    )
 
 
 def _grams(s: str) -> set[str]:
@@ -183,14 +131,18 @@ def author_score(a: list[str], b: list[str]) -> float | None:
 
 def agree(entry: dict, work: dict, p: Params) -> float:
     """Score of a candidate pair, 0 if it is no match: title, authors and year agree as far as they are there."""
-    t = title_score(entry["words"], work["words"])
-    a = author_score(entry["families"], work["families"])
     ye, yw = entry["year"], work["year"]
     y = None if ye is None or yw is None else abs(ye - yw)
+    if y is not None and y > 1:
+        return 0.0
+    t = title_score(entry["words"], work["words"])
     generic = t is not None and min(len([w for w in s["words"] if w not in STOP_WORDS]) for s in (entry, work)) < 4
     if generic and (set(entry["words"]) <= set(work["words"]) or set(work["words"]) <= set(entry["words"])):
         t = 1.0
-    if (t is None and a is None) or (y is not None and y > 1):
+    if t is not None and not generic and t < p.poor_title:
+        return 0.0  # whatever the authors
+    a = author_score(entry["families"], work["families"])
+    if t is None and a is None:
         return 0.0
     extent = (entry["volume"] is not None and entry["volume"] == work["volume"]) + (entry["page"] is not None and entry["page"] == work["page"])
     clash = (entry["volume"] is not None and work["volume"] is not None and entry["volume"] != work["volume"]) + (entry["page"] is not None and work["page"] is not None and entry["page"] != work["page"])
@@ -211,42 +163,73 @@ def agree(entry: dict, work: dict, p: Params) -> float:
     return t * (1.0 if a is None else 0.5 + 0.5 * a)
 
 
-def _keys(df: DataFrame, rule: tuple[str, ...], extra: str, near: bool) -> DataFrame:
-    """(id, extra, rule's attributes): array attributes give a row each, a near year the years around it."""
-    out = df.select("id", extra, *[F.col(c) for c in rule if c != "near_year"], *([F.col("year").alias("near_year")] if "near_year" in rule else []))
-    for c in rule:
-        if c == "near_year" and near:
-            out = out.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-        elif c != "near_year" and isinstance(df.schema[c].dataType, T.ArrayType):
-            out = out.withColumn(c, F.explode(c))
-        out = out.filter(F.col(c).isNotNull())
-    return out
-
-
-_CHECK = ("year", "families", "words", "volume", "page")
-
-
-def _scored(met: DataFrame, e: DataFrame, w: DataFrame, name: str, p: Params) -> DataFrame:
-    """(entry, work, service, rule, score, same): same is the label, null where the pair has none."""
-    pairs = met.join(e.select(F.col("id").alias("entry"), *[F.col(c).alias(f"e_{c}") for c in _CHECK]), "entry")
-    pairs = pairs.join(w.select(F.col("id").alias("work"), *[F.col(c).alias(f"w_{c}") for c in _CHECK]), "work")
+def title_rule(entry: dict, work: dict) -> int:
+    """Which rule of the first pass two records of one title meet."""
+    if set(entry["families"]) & set(work["families"]):
+        same = entry["families"][0] == work["families"][0] and entry["year"] is not None and entry["year"] == work["year"]
+        return 0 if same else 1
+    return 2
+
+
+def _keys(df: DataFrame, number: int, near: bool) -> DataFrame:
+    """(id, service, rule, k): hashed keys of one pass's rules; near: the side that is looked up by neighbouring years."""
+    fam, year = F.col("f"), F.col("year")
+    no = F.array().cast("array<struct<rule:int,k:bigint>>")
+    key = lambda rule, *cs: F.struct(F.lit(rule).alias("rule"), F.xxhash64(F.lit(rule), *cs).alias("k"))
+    base = df.select("id", "service", "year", "title", F.array_distinct(F.filter(F.split("families", r"\|"), lambda x: x != "")).alias("f"), F.filter(F.split("title", " "), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(STOP_WORDS))).alias("c"))
+    n, m = F.size("f"), F.size("c")
+    if number == 0:
+        titled = F.replace("title", F.lit(" "), F.lit(""))
+        base = base.withColumn("t", titled).filter("t <> ''")
+        # A long title is a key of its own, a short one only together with an author; which of the rules holds is told later.
+        keys = F.when(m > 3, F.array(key(0, F.col("t")))).otherwise(F.transform(fam, lambda a: key(0, F.col("t"), a)))
+    elif number == 1:
+        pairs = F.flatten(F.transform(fam, lambda a: F.transform(F.filter(fam, lambda b: b > a), lambda b: key(3, a, b))))
+        # Spans of three years; the looking side takes the spans of the year before and the year after.
+        span = lambda y: F.floor(y / 3).cast("int")
+        years = F.array_distinct(F.array(span(year - 1), span(year + 1))) if near else F.array(span(year))
+        by_year = F.flatten(F.transform(fam, lambda a: F.transform(years, lambda y: key(4, a, y))))
+        edges = F.array_distinct(F.concat(F.slice("c", 1, 2), F.slice("c", -1, 1)))
+        keys = F.concat(pairs, F.when(year.isNotNull(), by_year).otherwise(no), F.when((n == 1) & (m > 0), F.transform(edges, lambda w: key(5, fam[0], w))).otherwise(no))
+    else:
+        runs = lambda k: F.when(m >= k, F.transform(F.sequence(F.lit(1), m - k + 1), lambda i: F.array_sort(F.slice("c", i, k)))).otherwise(F.array().cast("array<array<string>>"))
+        keys = F.concat(F.when(year.isNotNull(), F.transform(runs(3), lambda w: key(6, w, year))).otherwise(no), F.transform(runs(4), lambda w: key(7, w)))
+    return base.select("id", "service", F.inline(keys))
+
+
+_CHECK = ("year", "families", "title", "volume", "page")
+
+
+def _scored(met: DataFrame, e: DataFrame, w: DataFrame, p: Params, by_title: bool) -> DataFrame:
+    """(entry, work, service, rule, score, same) of the pairs that agree; same is the label, null where there is none.
+
+    by_title: the pairs met by words of their titles; those that share too few cannot agree.
+    """
+    pairs = met.join(e.select(F.col("id").alias("entry"), *[F.col(c).alias(f"e_{c}") for c in _CHECK]).hint("shuffle_hash"), "entry")
+    pairs = pairs.join(w.select(F.col("id").alias("work"), *[F.col(c).alias(f"w_{c}") for c in _CHECK]).hint("shuffle_hash"), "work")
+    cols = ["entry", "work", "service", "rule", *[f"{k}_{c}" for k in "ew" for c in _CHECK]]
+
+    def side(year, families, title, volume, page) -> dict:
+        return {"year": year, "families": families.split("|") if families else [], "words": title.split(), "volume": volume, "page": page}
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for r in pdf.to_dict("records"):
-                x, y = ({c: r[f"{k}_{c}"] for c in _CHECK} for k in "ew")
-                for side in (x, y):
-                    side["families"], side["words"] = list(side["families"]), list(side["words"])
-                    side["year"] = None if pd.isna(side["year"]) else int(side["year"])
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = side(*r[4:9]), side(*r[9:14])
                 score = agree(x, y, p)
-                known = None not in (x["volume"], y["volume"], x["page"], y["page"])
-                v, g = x["volume"] == y["volume"], x["page"] == y["page"]
-                out.append((r["entry"], r["work"], r["service"], score, v if known and v == g else None))
-            yield pd.DataFrame(out, columns=["entry", "work", "service", "score", "same"])
+                if score > 0:
+                    r = (*r[:3], title_rule(x, y) if r[3] == 0 else r[3])
+                    known = None not in (x["volume"], y["volume"], x["page"], y["page"])
+                    v, g = x["volume"] == y["volume"], x["page"] == y["page"]
+                    out.append((*r, score, v if known and v == g else None))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], [*cols[:4], "score", "same"])
 
-    schema = "entry long, work long, service string, score double, same boolean"
-    return pairs.select("entry", "work", "service", *[f"{k}_{c}" for k in "ew" for c in _CHECK]).mapInPandas(run, schema).withColumn("rule", F.lit(name))
+    if by_title:
+        s, t = (F.array_except(F.split(f"{k}_title", " "), F.array(*map(F.lit, sorted(STOP_WORDS)))) for k in "ew")
+        pairs = pairs.filter(F.size(F.array_intersect(s, t)) >= p.shared_words * F.least(F.size(s), F.size(t)))
+    return pairs.select(cols).mapInArrow(run, "entry long, work long, service string, rule int, score double, same boolean")
 
 
 def match(entries: DataFrame, works: DataFrame, p: Params = Params()) -> DataFrame:
@@ -254,24 +237,28 @@ def match(entries: DataFrame, works: DataFrame, p: Params = Params()) -> DataFra
     csl = [F.col(f"csl.{c}").alias(c) for c in ("title", "author", "issued", "volume", "page")]
     e = entries.select(F.col("entry_key").cast("long").alias("id"), *csl, F.lit("").alias("service"))
     w = works.select(F.col("work_key").cast("long").alias("id"), "title", "author", "issued", "volume", "page", F.coalesce("service", F.lit("")).alias("service"))
-    once = lambda x: spread(x.filter("id IS NOT NULL").groupBy("id").agg(F.first(F.struct(*x.columns[1:])).alias("r")).select("id", "r.*"))
-    e, w = materialize(_attributes(once(e)), "em-entries"), materialize(_attributes(once(w)), "em-works")
-    services = w.select("service").distinct()
-    unresolved = materialize(e.select("id").join(F.broadcast(services.groupBy().agg(F.collect_set("service").alias("open")))), "em-open")  # one row: the services
-    parts = []
-    for name, rule in RULES.items():
-        ek = _keys(e.join(unresolved, "id"), rule, "open", near=True)
-        wk = _keys(w, rule, "service", near=False).withColumnRenamed("id", "work")
-        met = ek.join(wk, list(rule)).filter("array_contains(open, service)").select(F.col("id").alias("entry"), "work", "service").distinct()
-        scored = materialize(_scored(met, e, w, name, p), f"em-{name}")
-        parts.append(scored)
-        done = scored.filter("score > 0").groupBy(F.col("entry").alias("id")).agg(F.collect_set("service").alias("done"))
-        left = unresolved.join(done, "id", "left").select("id", F.when(F.col("done").isNull(), F.col("open")).otherwise(F.array_except("open", "done")).alias("open"))
-        unresolved = materialize(left.filter("size(open) > 0"), f"em-open-{name}")
+    # Redelivered rows are equal, so they only repeat pairs; pairs are made distinct, rows need not be.
+    e, w = (materialize(_attributes(x.filter("id IS NOT NULL")), f"em-{n}") for x, n in ((e, "entries"), (w, "works")))
+    n_services = w.select("service").distinct().count()
+    parts: list[DataFrame] = []
+    for number in range(len(PASSES)):
+        open_entries, resolved = e, None
+        if parts:
+            resolved = reduce(DataFrame.unionByName, parts).select("entry", "service").distinct()
+            full = resolved.groupBy(F.col("entry").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= n_services)
+            open_entries = e.join(full, "id", "left_anti")
+        left = _keys(open_entries, number, True).select(F.col("id").alias("entry"), "k", "rule")
+        right = _keys(w, number, False).select(F.col("id").alias("work"), "service", "k")
+        met = left.hint("shuffle_hash").join(right, "k").groupBy("entry", "work", "service").agg(F.min("rule").alias("rule"))
+        if resolved is not None:
+            met = met.join(resolved, ["entry", "service"], "left_anti")
+        parts.append(materialize(_scored(met, e, w, p, number == 2).distinct(), f"em-pass{number}"))
     seen = reduce(DataFrame.unionByName, parts)
-    found = seen.filter("score > 0")
-    labels = found.filter("same IS NOT NULL").groupBy("rule").agg(F.count_if("same").alias("yes"), F.count("*").alias("n"))
+    strongest = F.min("rule").over(Window.partitionBy("entry", "service"))
+    matched = seen.withColumn("strongest", strongest).filter("rule = strongest")
+    labels = seen.filter("same IS NOT NULL").groupBy("rule").agg(F.count_if("same").alias("yes"), F.count("*").alias("n"))
     precision = labels.select("rule", ((F.col("yes") + p.prior_true) / (F.col("n") + p.prior_true + p.prior_false)).alias("precision"))
     unlabelled = p.prior_true / (p.prior_true + p.prior_false)
     confidence = F.round((F.coalesce("precision", F.lit(unlabelled)) + F.col("score")) / 2, 4)
-    return found.join(F.broadcast(precision), "rule", "left").select(F.col("entry").alias("entry_key"), F.col("work").alias("work_key"), "service", "rule", confidence.alias("confidence"))
+    name = F.element_at(F.array(*map(F.lit, RULE_NAMES)), F.col("rule") + 1)
+    return matched.join(F.broadcast(precision), "rule", "left").select(F.col("entry").alias("entry_key"), F.col("work").alias("work_key"), "service", name.alias("rule"), confidence.alias("confidence"))  # one row a rule is broadcast

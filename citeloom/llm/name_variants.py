@@ -104,6 +104,8 @@ def edit_distance(a: str, b: str, most: int) -> int:
 def close_tokens(a: str, b: str) -> bool:
     """Typos of one another: one edit, or two in words of eight letters or more."""
     most = 2 if min(len(a), len(b)) >= 8 else 1
+    if len(set(a) ^ set(b)) > 2 * most:  # an edit changes two kinds of letters at most
+        return False
     return edit_distance(a, b, most) <= most
 
 
