@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
+from citeloom.operators import parsing
 from citeloom.operators import structure as ops
 from citeloom.sources.tables import once, table
 
@@ -109,6 +110,26 @@ def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.section_labels(once(table(spark, sf_dir, "sections", "section_key", "paper_id", "section_ix", "heading_level", "paragraphs")))
 
 
+def parsed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections that the lines of scanned papers make."""
+    return parsing.parse(_lines(spark, sf_dir)).sections.select("paper_id", F.col("section_ix").cast("long"), "heading_level", "heading", "kind", F.size("paragraphs").cast("long").alias("n_paragraphs"))
+
+
+def parsed_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers in the text of scanned papers, from lines to links in one chain."""
+    return parsing.parse(_lines(spark, sf_dir)).markers.select("paper_id", "para_ix", "kind", "start_pos", "raw", "seq")
+
+
+def parsed_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.abstracts(once(table(spark, sf_dir, "sections", "paper_id", "section_ix", "heading", "paragraphs")))
+
+
+def layout_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers by the number of columns their pages have."""
+    pages = _lines(spark, sf_dir).groupBy("paper_id", "page").agg((F.coalesce(F.max("col_no"), F.lit(0)) + 1).alias("columns"))
+    return parsing.layout_labels(pages)
+
+
 _L = "(SELECT DISTINCT line_key, paper_id, page, line_no, text, x_pos, y_pos, font_size, col_no, bold FROM text_lines)"
 _BODY = f"""body AS (SELECT paper_id, arg_max(size, (weight, -first)) AS body_size FROM (SELECT paper_id, floor(font_size * 2 + 0.5) / 2 AS size, sum(len(text)) AS weight, min(line_no) AS first
   FROM {_L} WHERE text IS NOT NULL AND font_size IS NOT NULL GROUP BY 1, 2) GROUP BY paper_id)"""
@@ -189,6 +210,9 @@ WITH {_DOC_LINES}, h AS (SELECT *, (regexp_matches(trim(text), '^\d+ [A-Z]') AND
 s AS (SELECT doc_id, coalesce(max(line_no) FILTER (word AND is_heading), max(line_no) FILTER (word AND len(trim(text)) < 30)) AS start, max(line_no) AS last FROM h GROUP BY 1)
 SELECT s.doc_id, CAST(start AS BIGINT) AS start, CAST(coalesce((SELECT min(line_no) FROM h WHERE h.doc_id = s.doc_id AND h.line_no > s.start AND is_heading), last + 1) AS BIGINT) AS stop,
   (SELECT trim(text) FROM h WHERE h.doc_id = s.doc_id AND h.line_no = s.start) AS heading FROM s WHERE start IS NOT NULL""",
+    "layout_labels": f"""
+WITH p AS (SELECT paper_id, page, coalesce(max(col_no), 0) + 1 AS columns FROM {_L} GROUP BY 1, 2)
+SELECT paper_id, CASE WHEN count(*) FILTER (columns = 2) > count(*) / 2 THEN 'two-column' WHEN count(*) FILTER (columns = 2) > 0 THEN 'mixed' ELSE 'single-column' END AS label FROM p GROUP BY 1""",
     "section_labels": """
 WITH s AS (SELECT DISTINCT section_key, paper_id, section_ix, heading_level, paragraphs FROM sections),
 n AS (SELECT *, lead(heading_level) OVER (PARTITION BY paper_id ORDER BY section_ix, section_key) AS next_level FROM s)
@@ -200,5 +224,6 @@ QUERIES = {
     for f in (
         body_font_mode, furniture_lines, heading_classes, paper_titles, reading_order, paragraph_islands, noise_lines, markdown_tables, table_line_runs,
         citation_runs, ref_list_style, ref_segment_numbered, ref_segment_hanging, sequence_gaps, reference_regions, section_labels,
+        parsed_sections, parsed_markers, parsed_abstracts, layout_labels,
     )
 }

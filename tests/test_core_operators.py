@@ -341,3 +341,53 @@ def test_uploads_and_versions(spark, tmp_path):
 def test_unfinished_frames_wait(spark):
     t = spark.createDataFrame([(1, 'data: {"type":"a"}\n\n: note\n\ndata: {"type":"b"}\n\ndata: {"ty')], "stream long, value string")
     assert [r["event"] for r in store.parse_events(t).orderBy("seq").collect()] == ["a", "b"]
+
+
+# ---------------------------------------------------------------- whole documents
+
+
+def _document(spark):
+    rows, y = [], 760.0
+    for i, (text, size, page) in enumerate(
+        [("A title of the work", 16.0, 1), ("some words before it all", 10.0, 1), ("1 Introduction", 12.0, 2), ("It was known [1] before this was said.", 10.0, 2), ("And so on [2, 3].", 10.0, 2), ("References", 12.0, 3), ("[1] Doe, J. 2001.", 10.0, 3)]
+    ):
+        rows.append((i, "p", page, i, text, 72.0, y - 12.0 * i, size, 0, False))
+    return spark.createDataFrame(rows, "line_key long, paper_id string, page int, line_no int, text string, x_pos double, y_pos double, font_size double, col_no int, bold boolean")
+
+
+def test_lines_become_sections_and_markers(spark):
+    from citeloom.operators import parsing
+
+    parsed = parsing.parse(_document(spark))
+    got = {r["heading"]: (r["kind"], r["paragraphs"]) for r in parsed.sections.collect()}
+    assert got["1 Introduction"][0] == "body" and got["References"][0] == "references" and "(front matter)" in got
+    assert [r["raw"] for r in parsed.markers.orderBy("seq").collect()] == ["[1]", "[2, 3]"]
+    assert parsed.titles.first()["title"] == "A title of the work"
+
+
+def test_abstract_without_the_numbers_of_a_figure(spark):
+    from citeloom.operators import parsing
+
+    s = spark.createDataFrame(
+        [("p", 0, "Abstract", ["This is a sentence of eight words or more.", "A stub", "1 2 3 4 5 6", "behind"]), ("q", 0, "Start", ["Abstract: led by the word."]), ("r", 0, "x", [None])],
+        "paper_id string, section_ix int, heading string, paragraphs array<string>",
+    )
+    assert rows(parsing.abstracts(s)) == [("p", "This is a sentence of eight words or more.", True), ("q", "led by the word.", False)]
+
+
+def test_small_workflow_operators(spark):
+    from citeloom.operators import parsing
+
+    pages = spark.createDataFrame([("a", 1, 2), ("a", 2, 2), ("b", 1, 2), ("b", 2, 1), ("c", 1, 1)], "paper_id string, page int, columns int")
+    assert rows(parsing.layout_labels(pages)) == [("a", "two-column"), ("b", "mixed"), ("c", "single-column")]
+    before = spark.createDataFrame([("p", 1, "unverified"), ("p", 2, "verified"), ("p", 3, "unverified")], "paper_id string, entry_key long, status string")
+    after = spark.createDataFrame([("p", 1, "verified"), ("p", 2, "verified"), ("p", 3, "unverified")], "paper_id string, entry_key long, status string")
+    assert rows(parsing.healed(before, after)) == [("p", 1, 1)]
+    answers = spark.createDataFrame([(["a", "b", "c"], ["x", None, "z"])], "ids array<string>, records array<string>")
+    assert rows(parsing.zipped_answers(answers)) == [("a", "x"), ("c", "z")]
+    q = spark.createDataFrame([(1, i, f"q{i}") for i in range(4)] + [(9, 0, "lost")], "section_key long, pos int, query string")
+    assert rows(parsing.guarded_queries(q, spark.createDataFrame([(1,)], "section_key long"))) == [(1, 0, "q0"), (1, 1, "q1")]
+    f = spark.createDataFrame([(1, "missing-work", "s", "d" * 900)], "finding_id long, kind string, summary string, detail string")
+    assert len(parsing.fix_commands(f).first()["command"]) == 490
+    e = spark.createDataFrame([("p", 1, "verified", "text"), ("p", 2, "verified", None), ("p", 3, "verified", "t")], "paper_id string, number int, status string, abstract string")
+    assert rows(parsing.checkable(e, spark.createDataFrame([("p", 1), ("p", 1), ("p", 2)], "paper_id string, number int")).select("number")) == [(1,)]
