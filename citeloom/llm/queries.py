@@ -109,4 +109,18 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_groups, p4_found, p4_repaired, p4_page_texts, p5_found, p5_matches, p6_found, p6_canonical, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)}
-SQL: dict[str, str] = {}
+
+
+def _cases_sql() -> str:
+    """Simple cases by their characters; look-alikes by a Latin letter in the same word (Python gives the classes)."""
+    plain = f"[{canonical_text.INVISIBLE}{canonical_text.SPACES}\uff01-\uff5e\uffe0-\uffe6\ufb00-\ufb06\ufe00-\ufe0f\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]"
+    phonetic = "".join(c for c in canonical_text.LOOK_ALIKES if c in "ɡɑı")
+    other = "".join(c for c in canonical_text.LOOK_ALIKES if c not in phonetic)
+    latin = r"[a-zA-Z\x{C0}-\x{24F}]"
+    looks = rf"{latin}\p{{L}}*[{other}{phonetic}]|[{other}{phonetic}]\p{{L}}*{latin}"
+    test = f"regexp_matches(t, '{plain}') OR regexp_matches(t, '{looks}')"
+    parts = [f"SELECT '{tbl}' AS tbl, {key} AS row_key, {col} AS t FROM {tbl}" for tbl, (key, col) in FIELDS_6.items()]
+    return f"SELECT DISTINCT tbl, row_key FROM ({' UNION ALL '.join(parts)}) WHERE {test}"
+
+
+SQL: dict[str, str] = {"p6_found": _cases_sql()}

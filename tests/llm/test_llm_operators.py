@@ -92,7 +92,8 @@ def _crowd():
     family = lambda: "".join(rng.choice(["kor", "lim", "pas", "gur", "tin", "fol", "jer", "bun"]) for _ in range(4)).capitalize()
     given = ["Daniel", "Dan", "Matthew", "Ann", "Deborah", "D.", "M."] * 25
     people = [(1000 + i, family(), g, None) for i, g in enumerate(given)]
-    return people + [(2000 + i, None, None, f"Institute of Applied {s}, {family()}") for i, s in enumerate(["Physics", "History"] * 25)]
+    short = [(3000 + i, None, None, f"{family()} Inst. for Appl. {s}") for i, s in enumerate(["Phys.", "Hist."] * 25)] + [(4000 + i, None, None, f"IAP {family()}") for i in range(25)]
+    return people + short + [(2000 + i, None, None, f"Institute of Applied {s}, {family()}") for i, s in enumerate(["Physics", "History"] * 25)]
 
 
 def test_names_are_grouped(spark):
@@ -228,6 +229,20 @@ def test_conflicts_are_refused():
         ct.compile_rules({"x": "y", "y": "z"})
 
 
+def test_the_sql_of_cases_agrees(spark):
+    import duckdb
+
+    from citeloom.llm import queries
+
+    texts = ["Ｋｏ", "résumé", "résumé", "cut-oﬀ", "i﻿n", "ɡraԁieոt", "Воth", "решётка", "λόγος", "Δt", "β-sheet", "plain", "", None, "ɡ", "νector", "x y"]
+    con = duckdb.connect()
+    for t, key, col in (("text_spans", "span_key", "text"), ("works", "work_key", "title"), ("raw_entries", "raw_key", "text")):
+        con.execute(f"CREATE TABLE {t} ({key} BIGINT, {col} VARCHAR)")
+    con.execute("CREATE TABLE ref_entries (entry_key BIGINT, csl STRUCT(title VARCHAR))")
+    con.executemany("INSERT INTO text_spans VALUES (?, ?)", list(enumerate(texts)))
+    assert {r[1] for r in con.execute(queries.SQL["p6_found"]).fetchall()} == {i for i, t in enumerate(texts) if ct.suspicious(t)}
+
+
 def test_cases_in_a_table(spark):
     df = spark.createDataFrame([(1, "ｘ"), (2, "x"), (3, None), (4, ""), (5, "é " * 50_000 + "​"), (6, "решётка")], "k long, t string")
     assert rows(ct.cases(df, "t", "k", F.col("t"))) == [("t", 1), ("t", 5)]
