@@ -216,6 +216,10 @@ def _scored(met: DataFrame, e: DataFrame, w: DataFrame, p: Params, by_title: boo
         for batch in batches:
             out = []
             for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[4] is not None and r[4:7] == r[9:12] and r[5] and len(set(r[6].split()) - STOP_WORDS) > 3:  # equal in all: no need to look closer
+                    v, g = r[7] == r[12], r[8] == r[13]
+                    out.append((*r[:3], 0 if r[3] == 0 else r[3], 1.0, v if None not in (r[7], r[12], r[8], r[13]) and v == g else None))
+                    continue
                 x, y = side(*r[4:9]), side(*r[9:14])
                 score = agree(x, y, p)
                 if score > 0:
