@@ -115,24 +115,36 @@ def link_author_years(markers: DataFrame, entries: DataFrame) -> DataFrame:
     """Each author-year cite with the number of entries of its paper that fit; one is a link, more are ambiguous.
 
     An entry fits if its year is equal and the name is a family name, or stands as whole words in a literal
-    author or among the first 120 characters of the entry.
+    author or among the first 120 characters of the entry.  Of several the one whose text has the year with
+    the cite's letter is meant, if it is only one.
     """
     inner = F.explode(F.split(F.regexp_extract("raw", r"\((.*)\)$", 1), ";"))
     cites = (
         markers.filter("startswith(raw, '(')")
         .select("marker_key", "paper_id", inner.alias("cite"))
         .filter(F.col("cite").rlike(r"(?:19|20)\d{2}") & F.trim("cite").rlike(SURNAME))
-        .select("marker_key", "paper_id", F.lower(F.regexp_extract(F.trim("cite"), SURNAME, 1)).alias("surname"), F.regexp_extract("cite", r"((?:19|20)\d{2})", 1).cast("int").alias("year"))
+        .select(
+            "marker_key", "paper_id", F.lower(F.regexp_extract(F.trim("cite"), SURNAME, 1)).alias("surname"), F.regexp_extract("cite", r"((?:19|20)\d{2})", 1).cast("int").alias("year"),
+            F.regexp_extract("cite", r"(?:19|20)\d{2}([a-z]?)", 1).alias("letter"),
+        )
         .distinct()
     )
     spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\d]+", " "), F.lit(" "))
-    e = entries.select("entry_key", "paper_id", F.expr("try_element_at(try_element_at(csl.issued, 1), 1)").alias("year"), F.col("csl.author").alias("author"), spaced(F.lower(F.substring("raw_text", 1, 120))).alias("head"))
+    e = entries.select("entry_key", "paper_id", F.expr("try_element_at(try_element_at(csl.issued, 1), 1)").alias("year"), F.col("csl.author").alias("author"), spaced(F.lower(F.substring("raw_text", 1, 120))).alias("head"), "raw_text")
     name = spaced(F.col("surname"))
     fits = F.exists(F.coalesce("author", F.array()), lambda a: F.coalesce((F.lower(a["family"]) == F.col("surname")) | F.contains(spaced(F.lower(a["literal"])), name), F.lower(a["family"]) == F.col("surname"), F.contains(spaced(F.lower(a["literal"])), name), F.lit(False)))
-    hit = cites.join(e, ["paper_id", "year"]).filter(fits | F.coalesce(F.contains("head", name), F.lit(False))).groupBy("marker_key", "surname", "year").agg(F.count("*").alias("n"), F.min("entry_key").alias("only"))
+    lettered = (F.col("letter") != "") & F.contains("raw_text", F.concat(F.col("year").cast("string"), F.col("letter")))
+    key = ["marker_key", "surname", "year", "letter"]
+    hit = (
+        cites.join(e, ["paper_id", "year"])
+        .filter(fits | F.coalesce(F.contains("head", name), F.lit(False)))
+        .groupBy(*key)
+        .agg(F.count("*").alias("n"), F.min("entry_key").alias("only"), F.count_if(lettered).alias("n_lettered"), F.min(F.when(lettered, F.col("entry_key"))).alias("by_letter"))
+    )
     n = F.coalesce("n", F.lit(0)).cast("long")
-    return cites.join(hit, ["marker_key", "surname", "year"], "left").select(
-        "marker_key", "surname", "year", n.alias("n_fits"), F.when(n == 1, F.col("only")).alias("entry_key"), F.when(n == 0, "unresolved").when(n == 1, "linked").otherwise("ambiguous").alias("outcome")
+    chosen = F.when(n == 1, F.col("only")).when(F.col("n_lettered") == 1, F.col("by_letter"))
+    return cites.join(hit, key, "left").select(
+        "marker_key", "surname", "year", "letter", n.alias("n_fits"), chosen.alias("entry_key"), F.when(n == 0, "unresolved").when(chosen.isNotNull(), "linked").otherwise("ambiguous").alias("outcome")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
 from citeloom.operators import entries as ops
+from citeloom.operators import workflow
 from citeloom.sources.tables import once, table
 
 
@@ -93,6 +94,28 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.cache_misses(request, cache).select("work_key", "key")
 
 
+def work_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best records for the title of every entry."""
+    queries = _entries(spark, sf_dir).filter("title IS NOT NULL").select(F.col("entry_key").alias("query_id"), F.col("title").alias("query"), F.col("year").alias("max_year"))
+    return workflow.search(queries, _works(spark, sf_dir), max_year=F.col("max_year") + 1)
+
+
+def resolved_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cascade over all entries: identifiers of the text, then titles."""
+    e, ids = _entries(spark, sf_dir), F.col("raw_text")
+    entries = e.select("entry_key", "title", "year", "raw_text", tx.doi_of(ids).alias("doi"), tx.arxiv_of(ids).alias("arxiv"), F.lit(None).cast("string").alias("status"))
+    works = _works(spark, sf_dir).withColumn("arxiv", F.lit(None).cast("string"))
+    return workflow.resolve(entries, works).withColumn("score", F.round("score", 6))
+
+
+def missing_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works that sections could cite: two queries a section, from its heading and its first words."""
+    s = once(table(spark, sf_dir, "sections", "section_key", "heading", "paragraphs")).select("section_key", "heading", F.substring(F.array_join(F.filter("paragraphs", lambda p: p.isNotNull()), " "), 1, 1400).alias("excerpt"))
+    asked = F.array(F.struct(F.lit(0).alias("pos"), F.col("heading").alias("query")), F.struct(F.lit(1).alias("pos"), F.substring("excerpt", 1, 120).alias("query")))
+    queries = s.select("section_key", F.inline(asked)).filter("query IS NOT NULL").select("section_key", F.concat_ws("|", "section_key", "pos").alias("query_id"), "query")
+    return workflow.missing_work(s.select("section_key", "excerpt"), queries, _works(spark, sf_dir), _entries(spark, sf_dir))
+
+
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).filter("title IS NOT NULL").select("entry_key", tx.search_form(F.col("title")).alias("query"), tx.slug(F.col("title")).alias("slug"))
 
@@ -148,6 +171,14 @@ SELECT item_id, 'article' AS csl_type, title, year, doi, CAST(len(coalesce(autho
     "cache_misses": f"""
 WITH r AS (SELECT work_key, service, sha1('https://api.example.org/works/' || replace(doi, '/', '%2F')) AS key FROM {_W} WHERE doi IS NOT NULL)
 SELECT work_key, key FROM r WHERE key NOT IN (SELECT key FROM r WHERE service = 'openalex')""",
+    "work_search": rf"""
+WITH w AS (SELECT work_key, year, {_TOK} AS t FROM {_W} WHERE title IS NOT NULL), n AS (SELECT count(*) AS n FROM w),
+ww AS (SELECT work_key, unnest(t) AS w FROM w), d AS (SELECT w, count(*) AS df, ln((any_value(n) + 1.0) / count(*)) AS idf FROM ww, n GROUP BY w),
+q AS (SELECT entry_key AS query_id, year + 1 AS most, unnest({_TOK.replace('title', "trim(regexp_replace(regexp_replace(title, '[^\p{{L}}\p{{N}}\s-]', ' ', 'g'), '\s+', ' ', 'g'))")}) AS w FROM {_E} WHERE title IS NOT NULL),
+k AS (SELECT q.*, df, idf, row_number() OVER (PARTITION BY query_id ORDER BY df, q.w) AS rn FROM q JOIN d ON d.w = q.w),
+m AS (SELECT query_id, work_key, round(sum(idf), 6) AS relevance, any_value(most) AS most FROM k JOIN ww ON ww.w = k.w, n WHERE df <= greatest(n.n // 50, 1) OR rn = 1 GROUP BY 1, 2)
+SELECT query_id, m.work_key, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, m.work_key) AS place FROM m JOIN w ON w.work_key = m.work_key WHERE most IS NULL OR year IS NULL OR year <= most
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, m.work_key) <= 5""".replace("{{", "{").replace("}}", "}"),
     "search_queries": rf"""
 SELECT entry_key, trim(regexp_replace(regexp_replace(title, '[^\p{{L}}\p{{N}}\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS query, substr(regexp_replace(title, '[^\p{{L}}\p{{N}}]+', '-', 'g'), 1, 60) AS slug FROM {_E} WHERE title IS NOT NULL""",
     "display_names": r"""
@@ -162,6 +193,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         entry_identifiers, entry_fields, paper_year, title_similarity_pairs, resolve_titles, resolution_cascade, missing_candidates, greedy_candidates,
-        latest_records, source_records, doi_requests, cache_misses, search_queries, display_names, quotes_in_text,
+        latest_records, source_records, doi_requests, cache_misses, search_queries, display_names, quotes_in_text, work_search, resolved_entries, missing_work,
     )
 }

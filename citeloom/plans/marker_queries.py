@@ -128,15 +128,16 @@ last_one AS (SELECT paper_id, marker, arg_max(entry_key, (entry_ix, entry_key))
 SELECT marker_key, CAST(number AS BIGINT) AS number, entry_key FROM nums LEFT JOIN last_one l ON l.paper_id = nums.paper_id AND l.marker = CAST(number AS VARCHAR)""",
     "author_year_links": rf"""
 WITH inner_text AS (SELECT marker_key, paper_id, unnest(string_split(regexp_extract(raw, '\((.*)\)$', 1), ';')) AS cite FROM {_M} WHERE starts_with(raw, '(')),
-cites AS (SELECT DISTINCT marker_key, paper_id, lower(regexp_extract(trim(cite), '^((?:(?:van|von|der|den|de|di|la|le|ter|ten|du|dos|da|del|della)\s+)*[A-Z][\p{{L}}\d@&''’-]*)', 1)) AS surname, CAST(regexp_extract(cite, '((?:19|20)\d{{2}})', 1) AS INTEGER) AS year
+cites AS (SELECT DISTINCT marker_key, paper_id, lower(regexp_extract(trim(cite), '^((?:(?:van|von|der|den|de|di|la|le|ter|ten|du|dos|da|del|della)\s+)*[A-Z][\p{{L}}\d@&''’-]*)', 1)) AS surname, CAST(regexp_extract(cite, '((?:19|20)\d{{2}})', 1) AS INTEGER) AS year, regexp_extract(cite, '(?:19|20)\d{{2}}([a-z]?)', 1) AS letter
   FROM inner_text WHERE regexp_matches(cite, '(?:19|20)\d{{2}}') AND regexp_matches(trim(cite), '^((?:(?:van|von|der|den|de|di|la|le|ter|ten|du|dos|da|del|della)\s+)*[A-Z][\p{{L}}\d@&''’-]*)')),
-fits AS (SELECT c.marker_key, c.surname, c.year, e.entry_key FROM cites c JOIN {_E} e ON e.paper_id = c.paper_id AND e.csl.issued[1][1] = c.year
+fits AS (SELECT c.marker_key, c.surname, c.year, c.letter, e.entry_key, c.letter <> '' AND contains(e.raw_text, c.year || c.letter) AS lettered FROM cites c JOIN {_E} e ON e.paper_id = c.paper_id AND e.csl.issued[1][1] = c.year
   WHERE list_contains(list_transform(e.csl.author, lambda a: lower(a.family)), c.surname)
     OR len(list_filter(e.csl.author, lambda a: contains(' ' || regexp_replace(lower(a.literal), '[^\p{{L}}\d]+', ' ', 'g') || ' ', ' ' || regexp_replace(c.surname, '[^\p{{L}}\d]+', ' ', 'g') || ' '))) > 0
     OR contains(' ' || regexp_replace(lower(substr(e.raw_text, 1, 120)), '[^\p{{L}}\d]+', ' ', 'g') || ' ', ' ' || regexp_replace(c.surname, '[^\p{{L}}\d]+', ' ', 'g') || ' '))
-SELECT c.marker_key, c.surname, c.year, CAST(count(f.entry_key) AS BIGINT) AS n_fits, CASE WHEN count(f.entry_key) = 1 THEN min(f.entry_key) END AS entry_key,
-  CASE count(f.entry_key) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'linked' ELSE 'ambiguous' END AS outcome
-FROM cites c LEFT JOIN fits f ON f.marker_key = c.marker_key AND f.surname = c.surname AND f.year = c.year GROUP BY 1, 2, 3""",
+SELECT c.marker_key, c.surname, c.year, c.letter, CAST(count(f.entry_key) AS BIGINT) AS n_fits,
+  CASE WHEN count(f.entry_key) = 1 THEN min(f.entry_key) WHEN count(*) FILTER (f.lettered) = 1 THEN min(f.entry_key) FILTER (f.lettered) END AS entry_key,
+  CASE WHEN count(f.entry_key) = 0 THEN 'unresolved' WHEN count(f.entry_key) = 1 OR count(*) FILTER (f.lettered) = 1 THEN 'linked' ELSE 'ambiguous' END AS outcome
+FROM cites c LEFT JOIN fits f ON f.marker_key = c.marker_key AND f.surname = c.surname AND f.year = c.year AND f.letter = c.letter GROUP BY 1, 2, 3, 4""",
     "superscript_segments": r"""
 SELECT span_key, regexp_replace(text, '⟦\^([\d\s,;–-]+)⟧', '[\1]', 'g') AS plain, regexp_extract_all(text, '⟦\^([\d\s,;–-]+)⟧', 1) AS tokens
 FROM (SELECT DISTINCT span_key, text FROM text_spans) WHERE regexp_matches(text, '⟦\^([\d\s,;–-]+)⟧')""",
