@@ -45,6 +45,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_SCRATCH
 
 
+def _stages(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/citeloom/{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove what ``materialize`` wrote in this application; results that still read it must be saved before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as parquet in the shared scratch folder and read it back.
 
@@ -52,6 +63,6 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     later joins choose their strategy from measured bytes.  The files survive the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/citeloom/{label}-{uuid.uuid4().hex}"
+    path = f"{_stages(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
