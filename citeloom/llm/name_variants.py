@@ -193,8 +193,8 @@ def _abbreviates(short: str, long: str) -> bool:
     """The start of the word; for a kind of organisation, some of its letters in order from the first."""
     if len(short) < 2 or len(short) >= len(long) or short[0] != long[0]:
         return False
-    letters = iter(long)
-    return long.startswith(short) or (short in KIND_ABBREVIATIONS and is_kind(long) and all(c in letters for c in short))
+    letters, start = iter(long), iter(long[: len(short) + 2])  # the start may hold a typo
+    return long.startswith(short) or (len(short) > 2 and all(c in start for c in short)) or (short in KIND_ABBREVIATIONS and is_kind(long) and all(c in letters for c in short))
 
 
 def _content_matches(a: list[str], b: list[str]) -> bool:
