@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
+from citeloom.operators.prefix import running_sum
 
 PARTICLE = r"(?:(?:van|von|der|den|de|di|la|le|ter|ten|du|dos|da|del|della)\s+)*"
 SURNAME = rf"^({PARTICLE}[A-Z][\p{{L}}\d@&'’-]*)"
@@ -84,8 +85,9 @@ def find_markers(sections: DataFrame) -> DataFrame:
     tagged = [tag(kind, rank, pattern) for rank, (kind, pattern) in enumerate(kinds)]
     found = paras.select("section_key", "paper_id", "section_ix", "para_ix", F.explode(F.concat(*tagged)).alias("m")).select("section_key", "paper_id", "section_ix", "para_ix", "m.*")
     kept = found.filter((F.col("kind") != "parenthetical") | F.exists(F.split("inner", ";"), is_cite))
-    order = Window.partitionBy("paper_id").orderBy("section_ix", "section_key", "para_ix", "rank", "start_pos")
-    return kept.select("section_key", "paper_id", F.col("para_ix").cast("long"), "kind", "start_pos", "end_pos", "raw", (F.row_number().over(order) - 1).cast("long").alias("seq"))
+    order = ["section_ix", "section_key", "para_ix", "rank", "start_pos"]
+    numbered = running_sum(kept, ["paper_id"], F.coalesce(F.col("section_ix"), F.lit(-1)).cast("long"), order, F.lit(1), "place")
+    return numbered.select("section_key", "paper_id", F.col("para_ix").cast("long"), "kind", "start_pos", "end_pos", "raw", (F.col("place") - 1).cast("long").alias("seq"))
 
 
 def style_vote(spans: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
 from citeloom.operators import markers, structure
+from citeloom.operators.prefix import chunk_of, running_sum
 from citeloom.session import materialize
 
 
@@ -24,8 +25,8 @@ def sections_of_lines(lines: DataFrame) -> DataFrame:
     0.  Sections under a heading of references are kept apart by ``kind = 'references'``.
     """
     heads = structure.headings(lines).select("line_key", "level", "kind", "heading")
-    by = Window.partitionBy("paper_id").orderBy("line_no", "line_key").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.join(heads, "line_key", "left").withColumn("section_ix", F.count("heading").over(by))
+    titled = lines.join(heads, "line_key", "left")
+    marked = running_sum(titled, ["paper_id"], chunk_of(F.col("line_no")), ["line_no", "line_key"], F.when(F.col("heading").isNotNull(), 1).otherwise(0), "section_ix")
     named = marked.filter("heading IS NOT NULL").select("paper_id", "section_ix", "heading", F.col("level").alias("heading_level"))
     body = structure.paragraphs(marked.filter("heading IS NULL").withColumn("paper_id", F.concat_ws("|", "paper_id", F.col("section_ix").cast("string"))))
     rows = F.array_sort(F.collect_list(F.struct("page", "col_no", "para_ix", "text")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
+from citeloom.operators.prefix import chunk_of, previous, running_sum
 
 # Patterns of headings and captions.
 ROMAN_HEADING = r"^[IVXLC]{1,7}\.\s+[A-Z][A-Z\s,:&-]{2,70}$"
@@ -139,9 +140,9 @@ def segment_numbered(lines: DataFrame) -> DataFrame:
     """Entries of numbered lists: (doc_id, entry_ix, marker, text, too_short); lines before the first number fall away."""
     styled = lines.join(entry_style(lines), "doc_id").filter("style <> 'hanging-indent'")
     pattern = F.when(F.col("style") == "bracket", F.regexp_extract("text", BRACKET_START, 1)).otherwise(F.regexp_extract("text", DOT_START, 1))
-    by = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     cut = F.when(pattern != "", F.when(F.col("style") == "bracket", F.regexp_replace("text", BRACKET_START, "")).otherwise(F.regexp_replace("text", r"^(\d{1,3})\.\s+", ""))).otherwise(F.col("text"))
-    rows = styled.select("doc_id", "line_no", pattern.alias("marker"), cut.alias("text")).withColumn("entry_ix", F.sum(F.when(F.col("marker") != "", 1).otherwise(0)).over(by)).filter("entry_ix > 0")
+    rows = styled.select("doc_id", "line_no", pattern.alias("marker"), cut.alias("text"))
+    rows = running_sum(rows, ["doc_id"], chunk_of(F.col("line_no")), ["line_no"], F.when(F.col("marker") != "", 1).otherwise(0), "entry_ix").filter("entry_ix > 0")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
     out = rows.groupBy("doc_id", "entry_ix").agg(F.max("marker").alias("marker"), tx.squeeze(tx.join_wrapped(texts)).alias("text"))
     return out.withColumn("too_short", F.length("text") < 20)
@@ -150,21 +151,21 @@ def segment_numbered(lines: DataFrame) -> DataFrame:
 def segment_hanging(lines: DataFrame) -> DataFrame:
     """Entries of unnumbered lists by hanging indent; lines has doc_id, line_no, page, col_no, x_pos, text."""
     margin = F.min("x_pos").over(Window.partitionBy("doc_id", "page", "col_no"))
-    by = Window.partitionBy("doc_id").orderBy("line_no")
+    opening = lines.groupBy("doc_id").agg(F.min("line_no").alias("opening"))
     starts = F.col("text").rlike(ENTRY_STARTS[0]) | F.col("text").rlike(ENTRY_STARTS[1]) | F.col("text").rlike(ENTRY_STARTS[2])
-    first = F.row_number().over(by) == 1
-    rows = lines.withColumn("margin", margin).withColumn("start", (first | ((F.col("x_pos") <= F.col("margin") + 2) & starts)).cast("int"))
-    rows = rows.withColumn("entry_ix", F.sum(F.coalesce("start", F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.col("line_no") == F.col("opening")
+    rows = lines.withColumn("margin", margin).join(opening, "doc_id").withColumn("start", (first | ((F.col("x_pos") <= F.col("margin") + 2) & starts)).cast("int"))
+    rows = running_sum(rows, ["doc_id"], chunk_of(F.col("line_no")), ["line_no"], F.coalesce("start", F.lit(0)), "entry_ix")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
     return rows.groupBy("doc_id", "entry_ix").agg(tx.squeeze(tx.join_wrapped(texts)).alias("text")).withColumn("too_short", F.length("text") < 20)
 
 
 def sequence_gaps(entries: DataFrame) -> DataFrame:
     """Places where the list numbers of a paper do not go on by one: (paper_id, entry_ix, previous, number)."""
-    by = Window.partitionBy("paper_id").orderBy("entry_ix", "entry_key")
     number = F.col("marker").try_cast("int")
     rows = entries.filter(number.isNotNull()).select("paper_id", "entry_key", "entry_ix", number.alias("number"))
-    return rows.withColumn("previous", F.lag("number").over(by)).filter("number <> previous + 1").select("paper_id", "entry_ix", "previous", "number")
+    rows = previous(rows, ["paper_id"], chunk_of(F.col("entry_ix")), ["entry_ix", "entry_key"], "number", "previous")
+    return rows.filter("number <> previous + 1").select("paper_id", "entry_ix", "previous", "number")
 
 
 def reference_regions(lines: DataFrame) -> DataFrame:

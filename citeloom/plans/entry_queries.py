@@ -133,6 +133,7 @@ def quotes_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _E = "(SELECT DISTINCT entry_key, paper_id, entry_ix, raw_text, recorded_at, csl.title AS title, csl.issued[1][1] AS year, csl.doi AS doi, csl.author AS author FROM ref_entries)"
 _W = "(SELECT DISTINCT work_key, service, item_id, title, author, issued[1][1] AS year, doi, container_title, fetched_at FROM works)"
 _TOK = r"list_distinct(list_filter(string_split_regex(regexp_replace(lower(title), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda x: len(x) > 1))"
+_SEARCH = r"trim(regexp_replace(regexp_replace(title, '[^\p{L}\p{N}\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
 _SCORE = "CASE WHEN len(list_intersect(a.t, b.t)) = least(len(a.t), len(b.t)) AND least(len(a.t), len(b.t)) >= 4 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) END"
 _PAIRS = f"""et AS (SELECT *, {_TOK} AS t FROM {_E} WHERE title IS NOT NULL), wt AS (SELECT *, {_TOK} AS t FROM {_W} WHERE title IS NOT NULL),
 pairs AS (SELECT a.entry_key, b.work_key, {_SCORE} AS score FROM et a JOIN wt b ON len(a.t) > 0 AND len(b.t) > 0 WHERE {_SCORE} >= 0.75)"""
@@ -174,7 +175,7 @@ SELECT work_key, key FROM r WHERE key NOT IN (SELECT key FROM r WHERE service =
     "work_search": rf"""
 WITH w AS (SELECT work_key, year, {_TOK} AS t FROM {_W} WHERE title IS NOT NULL), n AS (SELECT count(*) AS n FROM w),
 ww AS (SELECT work_key, unnest(t) AS w FROM w), d AS (SELECT w, count(*) AS df, ln((any_value(n) + 1.0) / count(*)) AS idf FROM ww, n GROUP BY w),
-q AS (SELECT entry_key AS query_id, year + 1 AS most, unnest({_TOK.replace('title', "trim(regexp_replace(regexp_replace(title, '[^\p{{L}}\p{{N}}\s-]', ' ', 'g'), '\s+', ' ', 'g'))")}) AS w FROM {_E} WHERE title IS NOT NULL),
+q AS (SELECT entry_key AS query_id, year + 1 AS most, unnest({_TOK.replace('title', _SEARCH)}) AS w FROM {_E} WHERE title IS NOT NULL),
 k AS (SELECT q.*, df, idf, row_number() OVER (PARTITION BY query_id ORDER BY df, q.w) AS rn FROM q JOIN d ON d.w = q.w),
 m AS (SELECT query_id, work_key, round(sum(idf), 6) AS relevance, any_value(most) AS most FROM k JOIN ww ON ww.w = k.w, n WHERE df <= greatest(n.n // 50, 1) OR rn = 1 GROUP BY 1, 2)
 SELECT query_id, m.work_key, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, m.work_key) AS place FROM m JOIN w ON w.work_key = m.work_key WHERE most IS NULL OR year IS NULL OR year <= most

@@ -391,3 +391,17 @@ def test_small_workflow_operators(spark):
     assert len(parsing.fix_commands(f).first()["command"]) == 490
     e = spark.createDataFrame([("p", 1, "verified", "text"), ("p", 2, "verified", None), ("p", 3, "verified", "t")], "paper_id string, number int, status string, abstract string")
     assert rows(parsing.checkable(e, spark.createDataFrame([("p", 1), ("p", 1), ("p", 2)], "paper_id string, number int")).select("number")) == [(1,)]
+
+
+def test_two_level_windows_against_plain_ones(spark):
+    from pyspark.sql import Window
+
+    from citeloom.operators.prefix import chunk_of, previous, running_sum
+
+    random.seed(9)
+    data = [(random.choice("ab") if i % 7 else None, i, random.randrange(5)) for i in range(200)]
+    df = spark.createDataFrame(data, "g string, i int, v int")
+    w = Window.partitionBy("g").orderBy("i")
+    plain = df.withColumn("s", F.sum("v").over(w)).withColumn("p", F.lag("v").over(w))
+    made = previous(running_sum(df, ["g"], chunk_of(F.col("i"), 16), ["i"], F.col("v"), "s"), ["g"], chunk_of(F.col("i"), 16), ["i"], "v", "p")
+    assert rows(made.select("g", "i", "v", "s", "p")) == rows(plain)
