@@ -11,10 +11,13 @@ Method
     joins on: where both sides have a volume and a first page, a pair is true if both agree and false if
     neither does.  The labels are counted over all pairs a rule accepts, and the precision is smoothed, (true + a) / (true + false + a + b), then averaged with the pair's own score.
 
+    What an entry's csl lacks of title, authors and year is read off its raw_text before the keys are built.
+    A title read that way may be cut wrongly, so the work's title is also looked for in the whole raw_text.
+
     Keys that many rows share (a title such as "Editorial") only count together with a name or a year.
     Redelivered rows and exact copies of an entry's matching attributes join as one representative.
 
-Defined results: an entry without title and authors matches nothing; null attributes neither help nor
+Defined results: an entry without title and authors, in csl and raw_text, matches nothing; null attributes neither help nor
 contradict; repeated rows of a key count once; empty tables give empty results; other columns are ignored.
 """
 
@@ -80,9 +83,59 @@ def _families(author: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"(?<=^|\|)[a-z0-9]?(?:\||$)", ""), r"\|$", "")
 
 
+# Notes that stand anywhere in an entry and belong to no field.
+_NOTES = r"(?i)\[[^\]]*\]\.?\s*|\bet al\b\.?|\b(?:reprinted|special issue|in press|epub ahead of print|accessed [^.]*)(?:\.|$)"
+# The part before a year that stands before the title, and the text behind it.
+_DATED = r"^(.+?)[(,.\s]\s*(?:19|20)\d{2}[a-z]?\s*[).]+[:.]?\s*(\p{L}.*)$"
+_UNDATED = r"^(.+?)\.\s+(.+)$"
+
+
+def read_off(raw: Column) -> tuple[Column, Column, Column]:
+    """(title, author, issued) of an entry's text, in the shape of csl; null where it is not there.
+
+    The title is quoted, or stands behind the year, or behind the authors; a year is no part of a range of pages
+    nor of a date in words.
+    """
+    s = F.regexp_replace(raw, _NOTES, "")
+    part = lambda pattern, i: F.nullif(F.regexp_extract(s, pattern, i), F.lit(""))
+    rest = F.coalesce(part(_DATED, 2), part(_UNDATED, 2))
+    sentence = F.coalesce(F.nullif(F.regexp_extract(rest, r"^(.+?)[.?!]\s+(?=\p{Lu})", 1), F.lit("")), rest)
+    title = F.coalesce(part(r'[“"](.+?)[”"]', 1), sentence, raw)
+    head = F.coalesce(part(r'^(.+?)[“"]', 1), part(_DATED, 1), part(_UNDATED, 1))
+    names = F.transform(F.split(head, r"[,;&]|\band\b"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"\s+(?:\p{Lu}[.\s]*){1,4}$|\.$", "")))
+    names = F.filter(names, lambda x: F.regexp_like(x, F.lit(r"\p{Ll}|\p{Lu}{4}")))
+    none = F.lit(None).cast("string")
+    family = lambda x: F.when(F.regexp_like(x, F.lit(rf"(?i)^(?:{PARTICLES})\s")), x)
+    author = F.transform(names, lambda x: F.struct(family(x).alias("family"), none.alias("given"), x.alias("literal")))
+    years = F.regexp_extract_all(raw, F.lit(r"(?<![\d\p{L}])(?<!\p{L}\s)(?<![-–]\s?)((?:19|20)\d{2})(?!\d|\s?[-–])"), F.lit(1))
+    year = F.try_element_at(years, F.lit(-1)).cast("int")
+    return title, author, F.when(year.isNotNull(), F.array(F.array(year)))
+
+
+def _completed(df: DataFrame) -> DataFrame:
+    """Entries with what csl lacks read off raw_text; raw: the text where the title or the authors were read."""
+    title, author, issued = read_off(F.col("raw_text"))
+    named = F.exists("author", lambda a: (F.length(F.trim(a["family"])) > 1) | (F.length(F.trim(a["literal"])) > 1))
+    no_title, no_author = F.trim(F.coalesce("title", F.lit(""))) == "", ~F.coalesce(named, F.lit(False))
+    return df.select(
+        "id",
+        F.when(no_title, title).otherwise(F.col("title")).alias("title"),
+        F.when(no_author, author).otherwise(F.col("author")).alias("author"),
+        F.when(F.expr("try_element_at(try_element_at(issued, 1), 1)").isNull(), issued).otherwise(F.col("issued")).alias("issued"),
+        "volume",
+        "page",
+        "service",
+        F.when(no_title | no_author, F.col("raw_text")).alias("raw"),
+    )
+
+
+def _words(c: Column) -> Column:
+    return F.trim(F.regexp_replace(_plain(canonical_column(c)), r"[^\p{L}\p{N}]+", " "))
+
+
 def _attributes(df: DataFrame) -> DataFrame:
-    """df: id, title, author, issued, volume, page, service -> id, title (plain words), families, year, volume, page, service."""
-    title = F.trim(F.regexp_replace(_plain(canonical_column(F.col("title"))), r"[^\p{L}\p{N}]+", " "))
+    """df: id, title, author, issued, volume, page, service, raw -> id, title (plain words), families, year, volume, page, service, raw (plain words)."""
+    title = _words(F.col("title"))
     return df.select(
         "id",
         F.coalesce(title, F.lit("")).alias("title"),
@@ -91,6 +144,7 @@ def _attributes(df: DataFrame) -> DataFrame:
         "volume",
         F.nullif(F.regexp_extract("page", r"^\D*(\d+)", 1), F.lit("")).alias("page"),
         "service",
+        *([_words(F.col("raw")).alias("raw")] if "raw" in df.columns else []),
     )
 
 
@@ -113,6 +167,15 @@ def title_score(a: list[str], b: list[str]) -> float | None:
     return dice
 
 
+def held_score(title: list[str], raw: list[str]) -> float:
+    """Likeness of a title with the text that should hold it, 0 to 1, by containment; short titles say nothing."""
+    x = "".join(title)
+    if len(x) < 20:
+        return 0.0
+    g = _grams(x)
+    return 0.95 * len(g & _grams("".join(raw))) / len(g)
+
+
 def _near(a: str, b: str) -> bool:
     if a == b:
         return True
@@ -136,12 +199,19 @@ def agree(entry: dict, work: dict, p: Params) -> float:
     if y is not None and y > 1:
         return 0.0
     t = title_score(entry["words"], work["words"])
+    held = held_score(work["words"], entry["raw"]) if t is not None and entry.get("raw") else 0.0
+    if held > (t or 0.0):
+        t, entry = held, {**entry, "words": work["words"]}
     generic = t is not None and min(len([w for w in s["words"] if w not in STOP_WORDS]) for s in (entry, work)) < 4
     if generic and (set(entry["words"]) <= set(work["words"]) or set(work["words"]) <= set(entry["words"])):
         t = 1.0
     if t is not None and not generic and t < p.poor_title:
         return 0.0  # whatever the authors
     a = author_score(entry["families"], work["families"])
+    if entry.get("raw") and work["families"]:  # blanks inside names come and go
+        text = "".join(entry["raw"])
+        named = sum(len(x) > 3 and x in text for x in work["families"]) / len(work["families"])
+        a = max(a or 0.0, named) if a is not None or named >= 0.5 else None
     if t is None and a is None:
         return 0.0
     extent = (entry["volume"] is not None and entry["volume"] == work["volume"]) + (entry["page"] is not None and entry["page"] == work["page"])
@@ -176,7 +246,8 @@ def _keys(df: DataFrame, number: int, near: bool) -> DataFrame:
     fam, year = F.col("f"), F.col("year")
     no = F.array().cast("array<struct<rule:int,k:bigint>>")
     key = lambda rule, *cs: F.struct(F.lit(rule).alias("rule"), F.xxhash64(F.lit(rule), *cs).alias("k"))
-    base = df.select("id", "service", "year", "title", F.array_distinct(F.filter(F.split("families", r"\|"), lambda x: x != "")).alias("f"), F.filter(F.split("title", " "), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(STOP_WORDS))).alias("c"))
+    text = F.coalesce("raw", "title") if number == 2 and "raw" in df.columns else F.col("title")  # a title may be read wrongly
+    base = df.select("id", "service", "year", "title", F.array_distinct(F.filter(F.split("families", r"\|"), lambda x: x != "")).alias("f"), F.filter(F.split(text, " "), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(STOP_WORDS))).alias("c"))
     n, m = F.size("f"), F.size("c")
     if number == 0:
         titled = F.replace("title", F.lit(" "), F.lit(""))
@@ -205,9 +276,9 @@ def _scored(met: DataFrame, e: DataFrame, w: DataFrame, p: Params, by_title: boo
 
     by_title: the pairs met by words of their titles; those that share too few cannot agree.
     """
-    pairs = met.join(e.select(F.col("id").alias("entry"), *[F.col(c).alias(f"e_{c}") for c in _CHECK]).hint("shuffle_hash"), "entry")
+    pairs = met.join(e.select(F.col("id").alias("entry"), *[F.col(c).alias(f"e_{c}") for c in (*_CHECK, "raw")]).hint("shuffle_hash"), "entry")
     pairs = pairs.join(w.select(F.col("id").alias("work"), *[F.col(c).alias(f"w_{c}") for c in _CHECK]).hint("shuffle_hash"), "work")
-    cols = ["entry", "work", "service", "rule", *[f"{k}_{c}" for k in "ew" for c in _CHECK]]
+    cols = ["entry", "work", "service", "rule", *[f"{k}_{c}" for k in "ew" for c in _CHECK], "e_raw"]
 
     def side(year, families, title, volume, page) -> dict:
         return {"year": year, "families": families.split("|") if families else [], "words": title.split(), "volume": volume, "page": page}
@@ -221,6 +292,8 @@ def _scored(met: DataFrame, e: DataFrame, w: DataFrame, p: Params, by_title: boo
                     out.append((*r[:3], 0 if r[3] == 0 else r[3], 1.0, v if None not in (r[7], r[12], r[8], r[13]) and v == g else None))
                     continue
                 x, y = side(*r[4:9]), side(*r[9:14])
+                if r[14]:
+                    x["raw"] = r[14].split()
                 score = agree(x, y, p)
                 if score > 0:
                     r = (*r[:3], title_rule(x, y) if r[3] == 0 else r[3])
@@ -231,15 +304,16 @@ def _scored(met: DataFrame, e: DataFrame, w: DataFrame, p: Params, by_title: boo
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], [*cols[:4], "score", "same"])
 
     if by_title:
-        s, t = (F.array_except(F.split(f"{k}_title", " "), F.array(*map(F.lit, sorted(STOP_WORDS)))) for k in "ew")
+        s, t = (F.array_except(F.split(c, " "), F.array(*map(F.lit, sorted(STOP_WORDS)))) for c in (F.coalesce("e_raw", "e_title"), F.col("w_title")))
         pairs = pairs.filter(F.size(F.array_intersect(s, t)) >= p.shared_words * F.least(F.size(s), F.size(t)))
     return pairs.select(cols).mapInArrow(run, "entry long, work long, service string, rule int, score double, same boolean")
 
 
 def match(entries: DataFrame, works: DataFrame, p: Params = Params()) -> DataFrame:
-    """``(entry_key, work_key, service, rule, confidence)``; entries: entry_key, csl; works: work_key, service and CSL fields."""
+    """``(entry_key, work_key, service, rule, confidence)``; entries: entry_key, csl (, raw_text); works: work_key, service and CSL fields."""
     csl = [F.col(f"csl.{c}").alias(c) for c in ("title", "author", "issued", "volume", "page")]
-    e = entries.select(F.col("entry_key").cast("long").alias("id"), *csl, F.lit("").alias("service"))
+    raw = F.col("raw_text") if "raw_text" in entries.columns else F.lit(None).cast("string").alias("raw_text")
+    e = _completed(entries.select(F.col("entry_key").cast("long").alias("id"), *csl, F.lit("").alias("service"), raw))
     w = works.select(F.col("work_key").cast("long").alias("id"), "title", "author", "issued", "volume", "page", F.coalesce("service", F.lit("")).alias("service"))
     # Redelivered rows are equal, so they only repeat pairs; pairs are made distinct, rows need not be.
     e, w = (materialize(_attributes(x.filter("id IS NOT NULL")), f"em-{n}") for x, n in ((e, "entries"), (w, "works")))

@@ -59,7 +59,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each match with the rule that made it and its confidence."""
-    return entity_matching.match(table(spark, sf_dir, "ref_entries", "entry_key", "csl"), table(spark, sf_dir, "works", *WORKS))
+    return entity_matching.match(table(spark, sf_dir, "ref_entries", "entry_key", "raw_text", "csl"), table(spark, sf_dir, "works", *WORKS))
 
 
 FIELDS_6 = {

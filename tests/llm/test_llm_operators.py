@@ -194,6 +194,32 @@ def test_entities_match_by_rules(spark):
     assert em.match(entries.limit(0), works).count() == 0 and em.match(entries, works.limit(0)).count() == 0
 
 
+RAW_STYLES = [
+    "J. Kerlanvol, R. de Doe, “{t},” Journal of Tests, vol. 3, pp. 1950-1960, 2001.",
+    "Kerlanvol, J. and de Doe, R., 2001. {t}. Journal of Tests, 3, pp.1950-1960. Accessed 12 May 2021.",
+    "Kerlanvol J, de Doe RS. {t}. Journal of Tests. 2001;3:1950-1960.",
+    "Kerlanvol, J., de Doe, R. (2001). {t}. Journal of Tests, 3, 1950-1960.",
+    "Jane Kerlanvol, Rob de Doe. “{t}.” Journal of Tests 3 (2001): 1950-1960.",
+]
+
+
+def test_what_csl_lacks_is_read_off_the_raw_text(spark):
+    title, other = "Circular registers of river delta habitats with modular methods", "Seasonal tariffs in coastal markets and rural curricula"
+    styles = [(10 * i, s.format(t=title)) for i, s in enumerate(RAW_STYLES)]
+    df = spark.createDataFrame(styles, "k long, raw_text string")
+    t, a, y = em.read_off(F.col("raw_text"))
+    read = df.select(em._words(t).alias("t"), em._families(a).alias("a"), y[0][0].alias("y")).collect()
+    assert {tuple(r) for r in read} == {(title.lower(), "kerlanvol|dedoe", 2001)}
+    bare = [(k, x, (None, None, None, None, None)) for k, x in styles]
+    torn = "J. Kerlanvol, R. de Doe ;Circular registers of river delta habitats with modular methods” Journal of Tests  vol. 3"
+    more = [(1, torn, (None, None, None, None, None)), (2, RAW_STYLES[0].format(t="Editorial"), ("Editorial", None, None, None, None)), (3, RAW_STYLES[2].format(t=other), (None, _person("Kerlanvol"), [[2001]], None, None)), (4, None, (None, None, None, None, None))]
+    entries = spark.createDataFrame(bare + more, f"entry_key long, raw_text string, csl {CSL}")
+    w = [(100, "a", title, _person("Kerlanvol", "de Doe"), [[2001]], None, None), (101, "a", "Editorial", _person("Kerlanvol", "de Doe"), [[2001]], None, None), (102, "b", title, None, None, None, None)]
+    works = spark.createDataFrame(w, "work_key long, service string, title string, author array<struct<family:string,given:string,literal:string>>, issued array<array<int>>, volume string, page string")
+    got = {(r["entry_key"], r["work_key"]) for r in em.match(entries, works).collect()}
+    assert got == {(k, x) for k in (*range(0, 50, 10), 1) for x in (100, 102)} | {(2, 101)}
+
+
 def test_scores_of_titles_and_authors():
     assert em.title_score(["a", "title"], ["a", "title"]) == 1.0 and em.title_score([], ["x"]) is None
     assert em.author_score(["doe", "roe"], ["roe"]) == 1.0 and em.author_score([], ["x"]) is None
