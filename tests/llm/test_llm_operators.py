@@ -370,6 +370,17 @@ def test_junk_is_told_from_prose(spark):
     assert tq.found(d.limit(0), c).count() == 0
 
 
+def test_groups_of_junk_alone_lose_no_document(spark):
+    debris = "zshb hlnknbjsd nckp ckmzf vrtw plkg"
+    docs = [(debris, None)] * 30 + [("zshb hlnknbjsd nckp, ckmzf. 12 # 3", None)] + [("die der das und 1 2 3 | 4 | 5 |", "de")] + [(PROSE * 3, "en")] * 5 + [("  ", None)]
+    d, c = _quality(spark, docs)
+    stats = tq.scored(d, c).collect()
+    assert {r["doc_id"] for r in tq.found(d, c).collect()} == set(range(32))
+    assert {r["doc_id"] for r in stats if r["chars"] and r["prose_chars"] < 0.5 * r["chars"]} <= {r["doc_id"] for r in stats if r["candidate"]}
+    scores = sorted((r["outlier_score"] for r in stats if r["lang"] == "und" and r["chars"]), reverse=True)
+    assert all(r["candidate"] for r in stats if r["outlier_score"] is not None and r["lang"] == "und" and r["outlier_score"] >= scores[0])
+
+
 def test_tails_are_exact_ranks(spark):
     d, c = _quality(spark, [(PROSE * (1 + i % 4), "en") for i in range(20)])
     stats = tq.statistics(d, c)
