@@ -103,7 +103,7 @@ def work_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolved_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole cascade over all entries: identifiers of the text, then titles."""
     e, ids = _entries(spark, sf_dir), F.col("raw_text")
-    entries = e.select("entry_key", "title", "year", "raw_text", tx.doi_of(ids).alias("doi"), tx.arxiv_of(ids).alias("arxiv"), F.lit(None).cast("string").alias("status"))
+    entries = e.select("entry_key", "paper_id", "entry_ix", "title", "year", "raw_text", tx.doi_of(ids).alias("doi"), tx.arxiv_of(ids).alias("arxiv"), F.lit(None).cast("string").alias("status"))
     works = _works(spark, sf_dir).withColumn("arxiv", F.lit(None).cast("string"))
     return workflow.resolve(entries, works).withColumn("score", F.round("score", 6))
 
