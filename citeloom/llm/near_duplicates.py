@@ -3,15 +3,23 @@
 Method
     1. A record's *skeleton* is its letters and digits, lower case.  Equal skeletons form one class at
        once (plain aggregation), and one representative of each class goes on.
-    2. The skeleton's distinct character trigrams set bits of a fingerprint of ``groups * width``
-       segments of 64 bits; the embedding is the number of bits set in each segment.  If two
-       fingerprints differ in r bits, the Manhattan distance of the embeddings is at most r.
-    3. The segments are cut into ``groups`` sub-grids.  Records meet when they lie in the same cell of
-       at least one sub-grid: by the pigeonhole principle every pair closer than ``groups`` does, and
-       far more distant ones nearly always.  A pair that meets is kept when the Manhattan distance of
-       the (folded) embedding does not exceed the greatest bit difference that the similarity allows.
-    4. What is left is verified exactly: Jaccard similarity of the trigram sets.
-    5. Verified pairs are closed to groups by distributed connected components.
+    2. Each distinct character trigram of a skeleton is one bit of a fingerprint; the embedding counts the
+       bits in each segment of it.  If two trigram sets differ in r members, the Manhattan distance of their
+       embeddings is at most r, over any choice of segments and for any folding that brings counts no farther
+       apart.
+    3. Grid: the first coordinate is the size, the number of bits.  It is cut at powers of two, and a record
+       goes into its own stratum and into the next one if a similar record could be there, so that sizes are
+       joined by range.  Within a stratum of size s the segments are dealt to s / ``bits`` sub-grids, as often
+       as it takes to have ``cells`` of them; records meet that have equal counts in one sub-grid.  As
+       sub-grids hold the same few bits at every size, the chance to meet depends on the similarity alone,
+       not on the length: above 0.99 from a similarity of 0.7 on (``tests/llm`` measures it by length).
+    4. A pair that met is kept when the sizes and the Manhattan distance of the folded embedding (512 segments,
+       counts modulo two, compared as bits in the JVM) do not exceed what the similarity allows.
+    5. What is left is verified exactly: Jaccard similarity of the trigram sets.
+    6. Verified pairs are closed to groups by distributed connected components.
+
+A cell is never gathered: pairs of a cell come from a sort-merge join on the cell, whose skewed partitions
+adaptive execution splits, and no cell is treated otherwise for its size.
 
 Character trigrams rather than word shingles are used because blanks inside words come and go in these
 records; a pair is similar from ``similar`` on, or from ``doubtful`` on when the numbers agree as well.
@@ -24,11 +32,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,16 +50,16 @@ from citeloom.session import materialize
 
 @dataclass(frozen=True)
 class Params:
-    groups: int = 24
-    width: int = 24
-    folded: int = 96
-    least_bits: int = 4  # cells with fewer bits tell nothing unless the whole record is short
+    cells: int = 40  # sub-grids a record is put into, in each of its strata
+    bits: float = 4.0  # bits a sub-grid holds at the lower end of its stratum
+    width: int = 4096  # segments of a sub-grid
+    least_bits: int = 4  # cells with fewer bits tell nothing, unless that is a third of the record
     similar: float = 0.66
     doubtful: float = 0.5
-    hot_cell: int = 512
 
 
-_MASK = 0xFFFFFFFFFFFFFFFF
+WORDS = [f"w{i}" for i in range(8)]  # the folded embedding, 64 segments a word
+_STRATUM_CHARS = 2_000_000  # characters handled at once; bounds memory, not results
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -58,108 +70,110 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def embed(texts: list[str], p: Params, salt: int = 0) -> np.ndarray:
-    """Bits set in each segment, one row a text (uint8, saturating at 255)."""
-    n_seg = p.groups * p.width
-    out = np.zeros((len(texts), n_seg), dtype=np.uint8)
-    if not texts:
-        return out
-    lengths = np.array([len(t) for t in texts])
+def fingerprint(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, bit): the distinct trigrams of each text as numbers of 64 bits, by owner."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     if len(codes) < 3:
-        codes = np.concatenate([codes, np.zeros(3, dtype=np.uint64)])
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     gram = codes[:-2] << np.uint64(42) ^ codes[1:-1] << np.uint64(21) ^ codes[2:]
     owner = np.repeat(np.arange(len(texts)), lengths)
-    owner = np.concatenate([owner, np.full(max(0, len(codes) - len(owner)), -1)])
     inside = owner[:-2] == owner[2:]
-    bit = _mix(gram[inside], 0x5A17 + salt) % np.uint64(n_seg * 64)
-    cell = np.unique(owner[:-2][inside].astype(np.uint64) * np.uint64(n_seg * 64) + bit)
-    row, seg = cell // np.uint64(n_seg * 64), (cell % np.uint64(n_seg * 64)) // np.uint64(64)
-    counts = np.bincount((row * np.uint64(n_seg) + seg).astype(np.int64), minlength=len(texts) * n_seg)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(len(texts), n_seg)
-
-
-def _cells(v: np.ndarray, p: Params, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell key of each record in each sub-grid, and whether the cell is informative."""
-    g = v.reshape(len(v), p.groups, p.width).astype(np.uint64)
-    weights = _mix(np.arange(1, p.groups * p.width + 1, dtype=np.uint64), 0x77 + salt).reshape(p.groups, p.width)
-    with np.errstate(over="ignore"):
-        key = (g * weights[None]).sum(axis=2, dtype=np.uint64) + np.arange(p.groups, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
-    bits = g.sum(axis=2)
-    short = bits.sum(axis=1, keepdims=True) < p.groups * p.least_bits * 2
-    return _mix(key, 1).view(np.int64), (bits >= p.least_bits) | (short & (bits > 0))
-
-
-def _fold(v: np.ndarray, p: Params) -> np.ndarray:
-    folded = v.reshape(len(v), -1, p.folded).astype(np.int32).sum(axis=1)
-    return np.minimum(folded, 255).astype(np.uint8)
-
-
-def _grid_rows(df: DataFrame, p: Params, salt: int) -> DataFrame:
-    """(cell, id, bits, folded embedding) of every informative cell; df has id, skeleton and optionally cell."""
-
-    def emit(batches):
-        for pdf in batches:
-            for start in range(0, len(pdf), 1000):
-                part = pdf.iloc[start : start + 1000]
-                v = embed(part["skeleton"].tolist(), p, salt)
-                key, keep = _cells(v, p, salt)
-                if "cell" in part:
-                    key = _mix((key.view(np.uint64) ^ _mix(part["cell"].to_numpy().view(np.uint64), 3)[:, None]).ravel(), 5).view(np.int64).reshape(key.shape)
-                fold = _fold(v, p)
-                row, _ = np.nonzero(keep)
-                packed = [x.tobytes() for x in fold]
-                yield pd.DataFrame({"cell": key[keep], "id": part["id"].to_numpy()[row], "vec": [packed[i] for i in row]})
-
-    return df.mapInPandas(emit, T.StructType([T.StructField("cell", T.LongType()), T.StructField("id", T.LongType()), T.StructField("vec", T.BinaryType())]))
-
-
-def _meet(rows: DataFrame, p: Params, split_hot: bool) -> DataFrame:
-    """Pairs of a cell within the Manhattan bound: (a, b, cell); b is null for a member of a hot cell."""
-    share = (1 - p.doubtful) / (1 + p.doubtful)
-
-    def pairs(ids: np.ndarray, cells: np.ndarray, vec: np.ndarray):
-        size = vec.sum(axis=1, dtype=np.int32)
-        step = 1
-        while step < len(ids):
-            same = np.nonzero(cells[:-step] == cells[step:])[0]
-            if not len(same):
-                return
-            for k in range(0, len(same), 100_000):
-                i = same[k : k + 100_000]
-                j = i + step
-                ok = np.abs(size[i] - size[j]) <= share * (size[i] + size[j])
-                i, j = i[ok], j[ok]
-                gap = np.abs(vec[i].astype(np.int16) - vec[j].astype(np.int16)).sum(axis=1, dtype=np.int32)
-                ok = gap <= share * (size[i] + size[j])
-                i, j = i[ok], j[ok]
-                yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "cell": cells[i]})
-            step += 1
-
-    def work(ids: np.ndarray, cells: np.ndarray, vec: np.ndarray):
-        _, first, count = np.unique(cells, return_index=True, return_counts=True)
-        hot = np.repeat(count > p.hot_cell, count) if split_hot and len(first) else np.zeros(len(ids), dtype=bool)
-        order = np.argsort(cells, kind="stable")
-        ids, cells, vec = ids[order], cells[order], vec[order]
-        if hot.any():
-            yield pd.DataFrame({"a": ids[hot], "b": pd.array([None] * int(hot.sum()), dtype="Int64"), "cell": cells[hot]})
-        yield from pairs(ids[~hot], cells[~hot], vec[~hot])
-
-    def scan(batches):
-        held = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            now = (pdf["id"].to_numpy(), pdf["cell"].to_numpy(), np.frombuffer(b"".join(pdf["vec"]), dtype=np.uint8).reshape(len(pdf), p.folded))
-            if held is not None:
-                now = tuple(np.concatenate([x, y]) for x, y in zip(held, now))
-            open_from = int(np.searchsorted(now[1], now[1][-1], side="left"))
-            yield from work(*(x[:open_from] for x in now))
-            held = tuple(x[open_from:] for x in now)
-        if held is not None:
-            yield from work(*held)
-
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(scan, "a long, b long, cell long")
+    owner, bit = owner[:-2][inside], _mix(gram[inside], 0x5A17)
+    order = np.lexsort((bit, owner))
+    owner, bit = owner[order], bit[order]
+    first = np.ones(len(owner), dtype=bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (bit[1:] != bit[:-1])
+    return owner[first], bit[first]
+
+
+def fold(owner: np.ndarray, bit: np.ndarray, n: int) -> np.ndarray:
+    """Counts of 512 segments modulo two, packed to 8 words: distances do not grow by it."""
+    counts = np.bincount(owner * 512 + (bit & np.uint64(511)).astype(np.int64), minlength=n * 512)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n, 512), axis=1).view(np.int64)
+
+
+def cells_of(owner: np.ndarray, bit: np.ndarray, size: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(record, cell) of every informative cell of every record, in each of its strata."""
+    stratum = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
+    reaches = size >= p.similar * 2.0 ** (stratum + 1)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for up in (0, 1):
+        here = (size > 0) & (reaches if up else True)
+        for level in np.unique(stratum[here]) + up:
+            grids = max(1, round(2.0 ** int(level) / p.bits))
+            rows = np.nonzero(here & (stratum + up == level))[0]
+            place = np.full(len(size), -1)
+            place[rows] = np.arange(len(rows))
+            mine = place[owner] >= 0
+            row, b = place[owner[mine]], bit[mine]
+            for turn in range(-(-p.cells // grids)):
+                h = _mix(b, 1000 + turn)
+                used = min(grids, p.cells - turn * grids)
+                grid = ((h >> np.uint64(24)) % np.uint64(grids)).astype(np.int64)
+                keep = grid < used
+                slot = row[keep] * used + grid[keep]
+                # equal counts have equal sums of the segments' weights; sums stay exact in doubles
+                weight = (_mix(h[keep] % np.uint64(p.width), 77) >> np.uint64(19)).astype(np.float64)
+                total = np.bincount(slot, weights=weight, minlength=len(rows) * used)
+                count = np.bincount(slot, minlength=len(rows) * used)
+                told = np.nonzero((count > 0) & (count >= np.minimum(p.least_bits, np.repeat(size[rows], used) / 3)))[0]
+                where = (int(level) << 20) + turn * grids
+                out.append((rows[told // used], _mix(_mix(total[told].astype(np.uint64), 11) ^ (where + told % used).astype(np.uint64), 9).view(np.int64)))
+    if not out:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate([r for r, _ in out]), np.concatenate([c for _, c in out])
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    for batch in batches:
+        ids, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("skeleton").to_pylist()
+        start = chars = 0
+        for i, t in enumerate(texts):
+            if chars and chars + len(t) > _STRATUM_CHARS:
+                yield ids[start:i], texts[start:i]
+                start, chars = i, 0
+            chars += len(t)
+        if start < len(texts):
+            yield ids[start:], texts[start:]
+
+
+def embedded(items: DataFrame, p: Params) -> DataFrame:
+    """Items (id, skeleton) with their size, folded embedding and the array of their cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _portions(batches):
+            owner, bit = fingerprint(texts)
+            size = np.bincount(owner, minlength=len(texts))
+            words = fold(owner, bit, len(texts))
+            row, cell = cells_of(owner, bit, size, p)
+            order = np.argsort(row, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]).astype(np.int32)
+            columns = [pa.array(ids), pa.array(size.astype(np.int32)), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(WORDS)))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(cell[order]))], names=["id", "size", *WORDS, "cells"])
+
+    return items.mapInArrow(run, "id long, size int, " + ", ".join(f"{w} long" for w in WORDS) + ", cells array<long>")
+
+
+def _side(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
+
+
+def _within(p: Params, distance: Column) -> Column:
+    """Whether a distance may belong to a pair of the least similarity; sizes are a_size and b_size."""
+    return distance <= F.lit((1 - p.doubtful) / (1 + p.doubtful)) * (F.col("a_size") + F.col("b_size"))
+
+
+def candidates(vectors: DataFrame, p: Params) -> DataFrame:
+    """Pairs ``(a_id, b_id)`` that share a cell, within the bounds on sizes and on the Manhattan distance."""
+    cells = vectors.select(F.explode("cells").alias("cell"), "id", "size")
+    met = _side(cells, "a").join(_side(cells, "b"), F.col("a_cell") == F.col("b_cell"))
+    met = met.filter((F.col("a_id") < F.col("b_id")) & _within(p, F.abs(F.col("a_size") - F.col("b_size"))))
+    pairs = met.select("a_id", "b_id").distinct()
+    packed = vectors.select("id", "size", *WORDS)
+    both = pairs.join(_side(packed, "a"), "a_id").join(_side(packed, "b"), "b_id")
+    distance = reduce(add, [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS])
+    return both.filter(_within(p, distance)).select("a_id", "b_id")
 
 
 def trigrams(s: str) -> set[str]:
@@ -168,9 +182,13 @@ def trigrams(s: str) -> set[str]:
 
 def same_record(a: str, b: str, text_a: str, text_b: str, p: Params) -> bool:
     """The exact test of two different skeletons and the texts they come from."""
-    x, y = trigrams(a), trigrams(b)
-    union = len(x | y)
-    score = len(x & y) / union if union else float(a == b)
+    return _judge(trigrams(a), trigrams(b), text_a, text_b, p, a == b)
+
+
+def _judge(x: set[str], y: set[str], text_a: str, text_b: str, p: Params, equal: bool = False) -> bool:
+    shared = len(x & y)
+    union = len(x) + len(y) - shared
+    score = shared / union if union else float(equal)
     if score >= p.similar:
         return True
     if score < p.doubtful:
@@ -179,6 +197,22 @@ def same_record(a: str, b: str, text_a: str, text_b: str, p: Params) -> bool:
     return bool(m) and sum((m & n).values()) >= 0.75 * max(sum(m.values()), sum(n.values()))
 
 
+class _Trigrams:
+    """Trigram sets of the texts seen last, up to a number of characters."""
+
+    def __init__(self, most: int = _STRATUM_CHARS) -> None:
+        self.most, self.held, self.chars = most, {}, 0
+
+    def __call__(self, text: str) -> set[str]:
+        found = self.held.get(text)
+        if found is None:
+            if self.chars > self.most:
+                self.held, self.chars = {}, 0
+            found = self.held[text] = trigrams(text)
+            self.chars += len(text)
+        return found
+
+
 def near_duplicate_classes(df: DataFrame, key: str, text: str, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: members (key, class_id, n_links) with one row a record, links between representatives.
 
@@ -190,20 +224,18 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, p: Params = Param
     reps = base.groupBy("same").agg(F.min(F.struct("id", "text", "skeleton")).alias("r")).select("same", "r.*")
     reps = materialize(reps, "nd-reps")
     items = reps.filter("skeleton <> ''").select("id", "skeleton")
-    met = materialize(_meet(_grid_rows(items.repartition(F.col("id")), p, 0), p, True), "nd-met")
-    cand = met.filter("b IS NOT NULL").select("a", "b")
-    hot = met.filter("b IS NULL").select(F.col("a").alias("id"), "cell")
-    if hot.take(1):  # members of a hot cell meet again in the cells of an independent fingerprint
-        again = _meet(_grid_rows(hot.join(items, "id"), p, 0x51ED), p, False)
-        cand = cand.unionByName(again.select("a", "b"))
-    left = items.join(reps.select("id", "text"), "id").select(F.col("id").alias("a"), F.col("skeleton").alias("sa"), F.col("text").alias("ta"))
-    right = left.select(F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("ta").alias("tb"))
+    vectors = materialize(embedded(items.repartition(F.col("id")), p), "nd-vectors")
+    near = materialize(candidates(vectors, p), "nd-near")
+    texts = reps.select("id", "skeleton", "text")
 
     @F.pandas_udf(T.BooleanType())
-    def verify(sa: pd.Series, sb: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.Series:
-        return pd.Series([same_record(*row, p) for row in zip(sa, sb, ta, tb)], dtype=bool)
+    def verify(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        sets = _Trigrams()
+        for columns in batches:
+            yield pd.Series([_judge(sets(a), sets(b), s, t, p) for a, b, s, t in zip(*columns)], dtype=bool)
 
-    links = cand.distinct().join(left, "a").join(right, "b").filter(verify("sa", "sb", "ta", "tb")).select("a", "b")
+    met = near.join(_side(texts, "a"), "a_id").join(_side(texts, "b"), "b_id")
+    links = met.filter(verify("a_skeleton", "b_skeleton", "a_text", "b_text")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     links = materialize(links, "nd-links")
     comp = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

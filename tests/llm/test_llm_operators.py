@@ -62,17 +62,60 @@ def test_near_duplicates_of_odd_rows(spark):
 
 
 def test_a_hot_cell_loses_no_pair(spark):
-    records = _records(12)
+    """Half of the rows are copies with small edits; partitions far below the usual size are split as skewed."""
+    rng = random.Random(5)
+    one = _records(1)[0][1]
+    records = [(1000 + i, typo(rng, one, 1)) for i in range(120)] + _records(12)
     df = spark.createDataFrame(records, "entry_key long, raw_text string")
     usual = rows(nd.near_duplicate_pairs(df, "entry_key", "raw_text"))
-    assert rows(nd.near_duplicate_pairs(df, "entry_key", "raw_text", nd.Params(hot_cell=2))) == usual
+    assert {(a, b) for a, b in itertools.combinations(sorted(k for k, _ in records if k >= 1000), 2)} <= set(usual)
+    names = ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("1KB", "1", "-1", "1KB")):
+            spark.conf.set(n, v)
+        assert rows(nd.near_duplicate_pairs(df, "entry_key", "raw_text")) == usual
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def _edited(rng, length, jaccard):
+    """A text of random letters and a copy with equally spread one-letter edits, of about that similarity."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    a = "".join(rng.choice(letters) for _ in range(length))
+    n = max(1, round(length * (1 - jaccard) / (1 + jaccard) / 3))
+    while True:
+        b = list(a)
+        for i in range(n):
+            b[min(length - 1, int((i + rng.random()) * length / n))] = rng.choice(letters)
+        x, y = nd.trigrams(a), nd.trigrams("".join(b))
+        if len(x & y) <= (jaccard + 0.01) * len(x | y):
+            return a, "".join(b)
+        n += max(1, n // 20)
+
+
+@pytest.mark.parametrize("length", [60, 150, 300, 600, 1500, 4000])
+def test_similar_records_meet_at_every_length(length):
+    rng, p = random.Random(length), nd.Params()
+    for jaccard in (0.7, 0.8, 0.9):
+        met = tried = 0
+        for _ in range(120 if length < 1000 else 50):
+            pair = _edited(rng, length, jaccard)
+            if not nd.same_record(*pair, *pair, p):
+                continue
+            owner, bit = nd.fingerprint(list(pair))
+            record, cell = nd.cells_of(owner, bit, np.bincount(owner, minlength=2), p)
+            met += bool(set(cell[record == 0]) & set(cell[record == 1]))
+            tried += 1
+        assert tried >= 40 and met >= 0.98 * tried
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.text("abcdef12", min_size=3, max_size=60), st.text("abcdef12", min_size=3, max_size=60))
 def test_manhattan_distance_is_a_lower_bound(a, b):
-    p = nd.Params()
-    v = nd.embed([a, b], p).astype(int)
+    owner, bit = nd.fingerprint([a, b])
+    v = np.unpackbits(nd.fold(owner, bit, 2).view(np.uint8), axis=1).astype(int)
     assert np.abs(v[0] - v[1]).sum() <= len(nd.trigrams(a) ^ nd.trigrams(b))
 
 
