@@ -424,6 +424,21 @@ def test_groups_of_junk_alone_lose_no_document(spark):
     assert all(r["candidate"] for r in stats if r["outlier_score"] is not None and r["lang"] == "und" and r["outlier_score"] >= scores[0])
 
 
+def test_the_score_chooses_what_is_checked(spark):
+    docs = [(PROSE * (1 + i % 5), "en") for i in range(120)] + [(f"- item {i} ## {i * 7}\n- thing %% {i}\n- other {i}", "en") for i in range(40)]
+    d, c = _quality(spark, docs)
+    rows_ = tq.scored(d, c).collect()
+    junk = {r["doc_id"] for r in rows_ if r["prose_share"] < 0.5}
+    least = min(r["outlier_score"] for r in rows_ if r["doc_id"] in junk)
+    assert junk == set(range(120, 160)) == {r["doc_id"] for r in tq.found(d, c).collect()}
+    assert {r["doc_id"] for r in rows_ if r["candidate"]} == {r["doc_id"] for r in rows_ if r["outlier_score"] >= least} != set(range(160))
+
+
+def test_a_bar_in_a_long_line_is_no_table_row(spark):
+    d, c = _quality(spark, [(PROSE.strip() * 3 + " <|end|>", "en"), ("a | b | c\n1 | 2 | 3", "en")])
+    assert {r["doc_id"] for r in tq.found(d, c).collect()} == {1}
+
+
 def test_tails_are_exact_ranks(spark):
     d, c = _quality(spark, [(PROSE * (1 + i % 4), "en") for i in range(20)])
     stats = tq.statistics(d, c)
