@@ -3,17 +3,21 @@
 Method
     1. A typed name becomes tokens: words, initials, acronyms; titles, particles and function words fall
        away, and a particle glued to a family name is cut off.  Names with equal tokens form one class.
-    2. Distinct tokens are joined with themselves on padded trigrams: Jaccard similarity of at least
-       ``token_jaccard`` by the prefix filter (grams by ascending frequency, positions within one), then a
-       check of the edit distance.  A token's frequency is summed over its neighbours, so a typo of a
-       common word is as common as the word.
-    3. A name's prefix is made of its rarest tokens (weight within ``prefix_share`` of its greatest);
-       names are candidates when prefix tokens are equal or neighbours.
+    2. Distinct tokens that are typos of one another (``close_tokens``) share what is left of them when as many
+       letters are deleted as edits are allowed; they are joined on that, then checked.  A token's frequency is
+       summed over its neighbours, so a typo of a common word is as common as the word; its *lead* is the most
+       frequent of them.  Words under ``least_letters`` letters make no names meet as typos: one letter makes another name.
+    3. Names become candidates by three kinds of keys.  A name's prefix, its rarest tokens (weight within
+       ``prefix_share`` of its greatest), joins with equal tokens and neighbours.  A pair of words of a person,
+       as lead and full form of a nickname, joins with the same pair, so that a family name however common,
+       which is in no prefix, still finds the given name's other spellings.  A person with one word and initials
+       joins with those who have the word and a name with that first letter.
     4. Candidates are verified by a soft token similarity weighted by rarity, where equal words, typos,
        nicknames, initials, abbreviations and acronyms count as matches, and given names or words of an
        organisation's subject that contradict each other veto the pair.
     5. A name with initials only, whose candidates contradict each other, is linked to those that share
-       its second initial, or else to none.  What is left is closed by connected components.
+       its second initial if these agree, or else to none but equals; least and greatest given names tell, no
+       name's candidates are gathered.  What is left is closed by connected components.
 
 Defined results: a row with no letters in any field is in no group; nulls count as empty; repeated rows of
 a key count once; empty tables give empty results; other columns are ignored.
@@ -38,9 +42,11 @@ from citeloom.session import materialize
 
 @dataclass(frozen=True)
 class Params:
-    token_jaccard: float = 0.4
+    least_typo: int = 3  # letters a word needs to be a typo of another one
+    least_letters: int = 4  # letters that two words need to make names meet as typos
     prefix_share: float = 0.75
     score: float = 0.5
+    organisation_score: float = 0.8
 
 
 # Words that carry no identity.
@@ -61,14 +67,15 @@ alexander alex sandy xander sasha|alexandra lexi|andrew andy drew|anthony tony|b
 christine chrissy tina|daniel dan danny|david dave davy|deborah deb debbie|dorothy dot dottie dolly|edward ed eddie ted ned|elizabeth liz beth betty lizzie eliza
 francisco paco pancho|frederick fred freddie freddy|gabriel gabe|george geordie|gregory greg|guillermo memo|harold hal harry|henry hank|jacob jake|james jim jimmy jamie
 jennifer jen jenny|jonathan jon|john johnny jack|joseph joe joey|joshua josh|katherine kate kathy katie|kenneth ken kenny|lawrence larry laurie|leonard len lenny
-margaret maggie peggy meg marge|matthew matt|michael mike mick mickey|mikhail misha|nicholas nick nicky|patricia pat patty tricia trish|patrick paddy|peter pete
-philip phil|raymond ray|rebecca becky becca|richard rick dick rich ricky|robert bob rob bobby robbie|ronald ron ronnie|samuel sam sammy|stephen steve|steven
+margaret maggie peggy meg marge|matthew matt|michael mike mick mickey|mikhail misha|nicholas nick nicky|patricia pat patty tricia trish|patrick paddy pat|peter pete
+philip phil|raymond ray|rebecca becky becca|richard rick dick rich ricky|robert bob rob bobby robbie|ronald ron ronnie|samuel sam sammy|stephen steve steven
 susan sue susie suzy|theodore theo teddy|thomas tom tommy|timothy tim|victoria vicky vic tori|vincent vince vinny|william bill will billy willy liam|zachary zach zack
 ekaterina katya|rajesh raj|vikram vik|zofia zosia|ulrike uli|johannes hannes hans
 abigail abby gail|gerald gerry jerry|ronald ron|donald don donnie|arthur art|walter walt|nathaniel nate nathan|jeffrey jeff|terence terry|martin marty
 """
-NICK = {short: line.split()[0] for row in NICKNAMES.split("\n") for line in row.split("|") if line for short in line.split()[1:]}
-_WHOLE = frozenset(NICK) | frozenset(NICK.values())  # given names, which no particle is cut from
+_FORMS = [line.split() for row in NICKNAMES.split("\n") for line in row.split("|") if line]
+NICK = {short: tuple(sorted({f[0] for f in _FORMS if short in f[1:]})) for f in _FORMS for short in f[1:]}
+_WHOLE = frozenset(NICK) | frozenset(f[0] for f in _FORMS)  # given names, which no particle is cut from
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = tuple(KINDS)
 
@@ -134,29 +141,40 @@ def tokens_of(family: str | None, given: str | None, literal: str | None) -> lis
     return out
 
 
-def grams_of(token: str) -> list[str]:
-    s = f"##{token}##"
-    return [s[i : i + 3] for i in range(len(s) - 2)]
+def _full(given: str) -> str:
+    return NICK.get(given, (given,))[0]
 
 
-def _full(given: str) -> str:
-    return NICK.get(given, given)
+def _fulls(given: str) -> tuple[str, ...]:
+    return NICK.get(given, (given,))
 
 
 def same_given(a: list[str], b: list[str]) -> bool:
     """Whether two lists of given names or initials can be one person's, position by position."""
     for i, (x, y) in enumerate(zip(a, b)):
         p, q = x[2:], y[2:]
+        f, g = _fulls(p), _fulls(q)
         if x[0] == y[0] == "w":
-            if not (p == q or _full(p) == _full(q) or close_tokens(p, q) or close_tokens(_full(p), _full(q))):
+            if not _same_word(p, q):
                 return False
-        elif p[0] != q[0] and _full(p)[0] != _full(q)[0]:
+        elif p[0] != q[0] and not {m[0] for m in f} & {n[0] for n in g}:
             return False
         if i == 1:
             break
     return True
 
 
+def _same_word(p: str, q: str) -> bool:
+    f, g = _fulls(p), _fulls(q)
+    return p == q or bool(set(f) & set(g)) or close_tokens(p, q) or any(close_tokens(m, n) for m in f for n in g)
+
+
+def _contradict(a: list[str], b: list[str]) -> bool:
+    """Whether each side has a whole word that no whole word of the other is a form of."""
+    x, y = ([t[2:] for t in s if t[0] == "w"] for s in (a, b))
+    return any(not any(_same_word(p, q) for q in y) for p in x) and any(not any(_same_word(p, q) for p in x) for q in y)
+
+
 def _givens(tokens: list[str], family: str) -> list[str]:
     """Tokens but the family name, with runs of capitals as initials; full names keep their order."""
     out = []
@@ -170,25 +188,6 @@ def _givens(tokens: list[str], family: str) -> list[str]:
     return out
 
 
-def consistent_neighbours(own: str, others: list[str]) -> list[str]:
-    """Of the given names a name with initials could have, those that do not contradict each other.
-
-    If they do, those that share its second initial; if these contradict each other too, only equals.
-    """
-    mine = own.split()
-    parsed = {o: o.split() for o in others}
-
-    def agree(group: list[str]) -> bool:
-        return all(same_given(parsed[x], parsed[y]) for i, x in enumerate(group) for y in group[:i] if parsed[x] and parsed[y])
-
-    if agree(others):
-        return others
-    second = [o for o in others if len(mine) > 1 and len(parsed[o]) > 1]
-    if second and agree(second):
-        return second
-    return [o for o in others if o == own]
-
-
 def _abbreviates(short: str, long: str) -> bool:
     """The start of the word; for a kind of organisation, some of its letters in order from the first."""
     if len(short) < 2 or len(short) >= len(long) or short[0] != long[0]:
@@ -197,16 +196,24 @@ def _abbreviates(short: str, long: str) -> bool:
     return long.startswith(short) or (len(short) > 2 and all(c in start for c in short)) or (short in KIND_ABBREVIATIONS and is_kind(long) and all(c in letters for c in short))
 
 
-def _content_matches(a: list[str], b: list[str]) -> bool:
-    if len(a) != len(b):
-        return False
-    rest = list(b)
-    for x in a:
-        hit = next((y for y in rest if x == y or close_tokens(x, y) and min(len(x), len(y)) > 3), None) or next((y for y in rest if _abbreviates(x, y) or _abbreviates(y, x)), None)
+def content_score(a: list[str], b: list[str], weight_a: list[float], weight_b: list[float]) -> float:
+    """Weighted share of the words of two organisations that match; words left over on both sides contradict."""
+    rest = list(zip(b, weight_b))
+    shared = total = 0.0
+    left = False
+    for x, w in zip(a, weight_a):
+        hit = next(((i, 1.0) for i, (y, _) in enumerate(rest) if x == y), None)
+        hit = hit or next(((i, 0.95) for i, (y, _) in enumerate(rest) if close_tokens(x, y) and min(len(x), len(y)) > 3), None)
+        hit = hit or next(((i, 0.9) for i, (y, _) in enumerate(rest) if _abbreviates(x, y) or _abbreviates(y, x)), None)
         if hit is None:
-            return False
-        rest.remove(hit)
-    return True
+            left = True
+        else:
+            w = min(w, rest.pop(hit[0])[1])  # a short form is rarer than its word
+            shared += w * hit[1]
+        total += w
+    if left and rest:
+        return 0.0
+    return shared / max(total + sum(w for _, w in rest), 1e-9)
 
 
 def similarity(a: list[str], b: list[str], key_a: str, key_b: str, weight_a: list[float], weight_b: list[float]) -> float:
@@ -217,7 +224,8 @@ def similarity(a: list[str], b: list[str], key_a: str, key_b: str, weight_a: lis
     acronym_a, acronym_b = (len(r) == 1 and r[0][0] == "a" for r in (rest_a, rest_b))
     if org_a or org_b:
         if org_a and org_b:
-            ok = _content_matches([t[2:] for t in rest_a], [t[2:] for t in rest_b])
+            own = [[max(w, 0.1) for t, w in zip(ts, ws) if t != f] for ts, ws, f in ((a, weight_a, fa), (b, weight_b, fb))]
+            return content_score([t[2:] for t in rest_a], [t[2:] for t in rest_b], *own)
         elif org_a and acronym_b:
             ok = [t[2] for t in sorted(rest_a, key=lambda t: not is_kind(t[2:]))] == list(rest_b[0][2:])
         elif org_b and acronym_a:
@@ -228,7 +236,7 @@ def similarity(a: list[str], b: list[str], key_a: str, key_b: str, weight_a: lis
     if acronym_a and acronym_b:
         return float(rest_a == rest_b or rest_a[0][2] == rest_b[0][2] and min(len(rest_a[0]), len(rest_b[0])) < 4)
     ga, gb = _givens(a, fa), _givens(b, fb)
-    if not same_given(ga, gb):
+    if not same_given(ga, gb) or _contradict(ga, gb):
         return 0.0
     wa, wb = sum(weight_a), sum(weight_b)
     family = min((w for t, w in zip(a, weight_a) if t == fa), default=0.0) * (1.0 if key_a == key_b else 0.9)
@@ -239,8 +247,6 @@ def similarity(a: list[str], b: list[str], key_a: str, key_b: str, weight_a: lis
     return shared / max(min(wa, wb), 1e-9)
 
 
-
-
 def _parse(df: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
@@ -248,59 +254,96 @@ def _parse(df: DataFrame) -> DataFrame:
             for i, f, g, l in pdf.itertuples(index=False, name=None):
                 t = tokens_of(f, g, l)
                 if t:
-                    rows.append((i, t, " ".join(sorted(t))))
-            yield pd.DataFrame(rows, columns=["id", "tokens", "form"])
+                    letters = [c for x in t if x[0] != "w" for c in (x[2:] if x[0] == "a" else x[2])]
+                    rows.append((i, t, " ".join(sorted(t)), letters, any(x[0] == "w" and is_kind(x[2:]) for x in t)))
+            yield pd.DataFrame(rows, columns=["id", "tokens", "form", "letters", "org"])
 
-    return df.mapInPandas(run, "id long, tokens array<string>, form string")
+    return df.mapInPandas(run, "id long, tokens array<string>, form string, letters array<string>, org boolean")
 
 
 def token_neighbours(tokens: DataFrame, p: Params) -> DataFrame:
     """``(t, u)``, both directions, of distinct tokens that are typos of one another; tokens has t."""
-    grams = F.expr("transform(sequence(1, length(t) + 2), i -> struct(substring(concat('##', t, '##'), i, 3) AS g, i AS pos))")
-    exploded = tokens.filter("length(t) >= 5").select("t", F.length("t").alias("n"), F.inline(grams))
-    freq = exploded.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = exploded.join(freq, "g").groupBy("t", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g", "pos"))).alias("all"))
-    size = F.col("n") + 2
-    prefix = ranked.select("t", "n", F.inline(F.slice("all", F.lit(1), (size - F.ceil(size * p.token_jaccard) + 1).cast("int"))))
-    prefix = prefix.select("t", "n", "g", "pos")
-    right = prefix.select(F.col("t").alias("u"), F.col("n").alias("m"), F.col("g").alias("g"), F.explode(F.array(F.col("pos") - 1, "pos", F.col("pos") + 1)).alias("pos"))
-    met = prefix.join(right, ["g", "pos"]).filter("t < u AND abs(n - m) <= 2 AND levenshtein(t, u, 3) >= 0").select("t", "u").distinct()
+    without = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
+    less = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: without(s, i))
+    t = F.col("t")
+    one = less(t)
+    two = F.when(F.length(t) >= 8, F.flatten(F.transform(one, less))).otherwise(F.array().cast("array<string>"))
+    keys = F.array_distinct(F.transform(F.concat(F.array(t), one, two), lambda x: F.xxhash64(x)))
+    spread = tokens.filter(F.length(t) >= p.least_typo).select("t", F.explode(keys).alias("k"))
+    met = spread.join(spread.select(F.col("t").alias("u"), "k"), "k").filter("t < u AND abs(length(t) - length(u)) <= 2").select("t", "u").distinct()
 
     @F.pandas_udf(T.BooleanType())
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        def test(x: str, y: str) -> bool:
-            g, h = set(grams_of(x)), set(grams_of(y))
-            return len(g & h) >= p.token_jaccard * len(g | h) and close_tokens(x, y)
-
-        return pd.Series([test(x, y) for x, y in zip(a, b)], dtype=bool)
-
-    one = met.filter(close("t", "u"))
-    return one.unionByName(one.select(F.col("u").alias("t"), F.col("t").alias("u")))
+        return pd.Series([close_tokens(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    pairs = met.filter("levenshtein(t, u, 4) >= 0").filter(close("t", "u"))
+    return pairs.unionByName(pairs.select(F.col("u").alias("t"), F.col("t").alias("u")))
+
+
+def _candidates(full: DataFrame, links: DataFrame, p: Params) -> DataFrame:
+    """``(a, b, t, u)``: names a < b that meet, and the tokens that are to be the same family name or place."""
+    x = F.inline("ws")
+    rare = full.select("id", "top", x).filter((F.length("t") >= 2) & (F.col("w") >= p.prefix_share * F.col("top"))).select("id", "t")
+    met = rare.join(links, "t").select(F.col("id").alias("a"), "t", "u").join(rare.select(F.col("id").alias("b"), F.col("t").alias("u")), "u").select("a", "b", "t", "u")
+    people = full.filter("NOT org")
+    # Pairs of words by lead and full form; the rarer of the two is the one that is taken out as key.
+    joint = lambda m, n: F.flatten(F.transform(m["c"], lambda i: F.transform(n["c"], lambda j: F.struct(F.xxhash64(F.least(i, j), F.greatest(i, j)).alias("k"), F.when(m["w"] >= n["w"], m["t"]).otherwise(n["t"]).alias("t")))))
+    joints = F.flatten(F.transform("ws", lambda m: F.flatten(F.transform(F.filter("ws", lambda n: n["t"] > m["t"]), lambda n: joint(m, n)))))
+    pairs = people.filter("size(ws) > 1").select("id", F.inline(joints)).distinct()
+    both = pairs.select(F.col("id").alias("a"), "k", "t").join(pairs.select(F.col("id").alias("b"), "k", F.col("t").alias("u")), "k").select("a", "b", "t", "u")
+    # One word with initials, or alone, asks those who have the word and a name with that letter.
+    ask = people.filter("size(ws) = 1").select("id", F.col("ws")[0]["t"].alias("t"), F.coalesce(F.get("letters", F.lit(0)), F.lit("")).alias("c"))
+    ask = ask.join(links, "t").select(F.col("id").alias("a"), "t", "u", "c")
+    firsts = lambda m: F.flatten(F.transform(F.filter("ws", lambda n: n["t"] != m["t"]), lambda n: F.transform(F.concat(F.array(n["t"]), n["c"]), lambda v: F.substring(v, 1, 1))))
+    answers = F.flatten(F.transform("ws", lambda m: F.transform(F.array_distinct(F.concat(F.array(F.lit("")), "letters", firsts(m))), lambda c: F.struct(m["t"].alias("u"), c.alias("c")))))
+    asked = ask.join(people.select(F.col("id").alias("b"), F.inline(answers)), ["u", "c"]).select("a", "b", "t", "u")
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("t")).otherwise(F.col("u")).alias("t"), F.when(F.col("a") < F.col("b"), F.col("u")).otherwise(F.col("t")).alias("u")]
+    return met.filter("a < b").unionByName(both.filter("a < b")).unionByName(asked.filter("a <> b").select(ordered)).distinct()
+
+
+def _unambiguous(good: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` without those of names with initials only whose candidates contradict each other.
+
+    Given names are leads and full forms here, so those that agree are equal; a second name may be an initial.
+    """
+    ends = good.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("ga").alias("own"), F.col("gb").alias("other")), F.struct(F.col("b").alias("id"), F.col("gb").alias("own"), F.col("ga").alias("other")))))
+    name = lambda i: F.get(F.split("other", " "), F.lit(i))
+    word = lambda i: F.when(F.startswith(name(i), F.lit("w:")), name(i))
+    one = lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(True))
+    longer = lambda c: F.when(name(1).isNotNull(), c)
+    some = F.col("other") != ""
+    vague = ends.filter("own = '' OR own LIKE 'i:%'").groupBy("id", "own").agg(
+        (one(F.when(some, word(0))) & one(word(1)) & one(F.substring(name(1), 3, 1))).alias("agree"),
+        (F.col("own").contains(" ") & one(longer(word(0))) & one(word(1)) & one(F.substring(name(1), 3, 1)) & (F.count(name(1)) > 0)).alias("agree2"),
+    )
+    kept = good
+    for end, mine, other in (("a", "ga", "gb"), ("b", "gb", "ga")):
+        told = vague.select(F.col("id").alias(end), F.col("own").alias(mine), "agree", "agree2")
+        keep = F.col("agree").isNull() | F.col("agree") | (F.col("agree2") & F.contains(other, F.lit(" "))) | (F.col(other) == F.col(mine))
+        kept = kept.join(told, [end, mine], "left").filter(keep).drop("agree", "agree2")
+    return kept.select("a", "b").distinct()
 
 
 def name_groups(names: DataFrame, p: Params = Params()) -> DataFrame:
     """``(name_key, group_id, n_links)``, one row a name that has letters."""
     base = names.select(F.col("name_key").cast("long").alias("id"), "family", "given", "literal").filter("id IS NOT NULL").distinct()
     parsed = materialize(_parse(base), "names-parsed")
-    reps = parsed.groupBy("form").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
+    # Names of one form may differ in the order of their words; the least order stands for all.
+    reps = parsed.groupBy("form").agg(F.min("id").alias("id"), F.min(F.struct("tokens", "letters", "org")).alias("x")).select("form", "id", "x.*")
     reps = materialize(reps, "names-reps")
     words = reps.select("id", F.explode("tokens").alias("token")).filter("token LIKE 'w:%'").select("id", F.expr("substring(token, 3)").alias("t")).distinct()
     df = materialize(words.groupBy("t").agg(F.count("*").alias("df")), "names-df")
-    pairs = materialize(token_neighbours(df, p), "names-tokens")
+    near = materialize(token_neighbours(df, p), "names-tokens")
     n = max(reps.count(), 1)
-    around = pairs.join(df.withColumnRenamed("t", "u"), "u").groupBy("t").agg(F.sum("df").alias("more"), F.max(F.struct("df", "u")).alias("top"))
-    smooth = df.join(around, "t", "left").select(
-        "t",
-        F.log(F.lit(float(n + 1)) / (F.col("df") + F.coalesce("more", F.lit(0)))).alias("w"),
-        F.when(F.col("top.df") > F.col("df"), F.col("top.u")).otherwise(F.col("t")).alias("lead"),
-    )
-    smooth = materialize(smooth, "names-weights")
-    weighed = words.join(smooth, "t").groupBy("id").agg(F.collect_list(F.struct("t", "w", "lead")).alias("ws"), F.max(F.when(F.length("t") >= 3, F.col("w"))).alias("top"))
-    full = reps.join(weighed, "id").select("id", "tokens", "ws", "top")
-    full = materialize(full, "names-full")
-    sig = full.select("id", "top", F.inline("ws")).filter((F.length("t") >= 3) & (F.col("w") >= p.prefix_share * F.col("top"))).select("id", "t")
-    links = pairs.unionByName(df.select("t", F.col("t").alias("u")))
-    met = sig.join(links, "t").select(F.col("id").alias("a"), "t", "u").join(sig.select(F.col("id").alias("b"), F.col("t").alias("u")), "u").filter("a < b").select("a", "b", "t", "u")
+    around = near.join(df.withColumnRenamed("t", "u"), "u").groupBy("t").agg(F.sum("df").alias("more"), F.max(F.struct("df", "u")).alias("top"))
+    lead = F.when(F.col("t").isin(*sorted(_WHOLE)), F.col("t")).otherwise(F.greatest(F.struct(F.col("df"), F.col("t").alias("u")), "top")["u"])
+    full_forms = F.create_map(*[F.lit(x) for short, forms in sorted(NICK.items()) for x in (short, list(forms))])
+    smooth = df.join(around, "t", "left").select("t", F.log(F.lit(float(n + 1)) / (F.col("df") + F.coalesce("more", F.lit(0)))).alias("w"), lead.alias("lead"))
+    smooth = materialize(smooth.withColumn("c", F.coalesce(F.try_element_at(full_forms, F.col("lead")), F.array("lead"))), "names-weights")
+    weighed = words.join(smooth, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", "w", "lead", "c"))).alias("ws"), F.max(F.when(F.length("t") >= 2, F.col("w"))).alias("top"))
+    full = materialize(reps.join(weighed, "id").select("id", "tokens", "letters", "org", "ws", "top"), "names-full")
+    links = near.filter(F.least(F.length("t"), F.length("u")) >= p.least_letters).unionByName(df.select("t", F.col("t").alias("u")))
+    met = materialize(_candidates(full, links, p), "names-met")
     side = full.select("id", "tokens", F.transform("ws", lambda x: x["t"]).alias("names"), F.transform("ws", lambda x: x["w"]).alias("weights"), F.transform("ws", lambda x: x["lead"]).alias("leads"))
     left = side.select([F.col(c).alias(f"{c}_a") for c in side.columns])
     right = side.select([F.col(c).alias(f"{c}_b") for c in side.columns])
@@ -313,26 +356,17 @@ def name_groups(names: DataFrame, p: Params = Params()) -> DataFrame:
                 wa, wb = dict(zip(r.names_a, r.weights_a)), dict(zip(r.names_b, r.weights_b))
                 ta, tb = list(r.tokens_a), list(r.tokens_b)
                 va, vb = ([w.get(t[2:], 0.5) if t[0] == "w" else 0.5 for t in ts] for ts, w in ((ta, wa), (tb, wb)))
-                if similarity(ta, tb, r.t, r.u, va, vb) >= p.score:
-                    org = any(t[0] == "w" and is_kind(t[2:]) for t in ta + tb)
+                org = any(t[0] == "w" and is_kind(t[2:]) for t in ta + tb)
+                if similarity(ta, tb, r.t, r.u, va, vb) >= (p.organisation_score if org else p.score):
                     lead_a, lead_b = dict(zip(r.names_a, r.leads_a)), dict(zip(r.names_b, r.leads_b))
                     ga, gb = ("#" if org else " ".join(f"{x[:2]}{_full(lead.get(x[2:], x[2:]))}" for x in _givens(ts, f"w:{k}")) for ts, k, lead in ((ta, r.t, lead_a), (tb, r.u, lead_b)))
                     out.append((r.a, r.b, ga, gb))
             yield pd.DataFrame(out, columns=["a", "b", "ga", "gb"])
 
     verified = cand.select("a", "b", "t", "u", *[c for c in left.columns + right.columns if not c.startswith("id_")])
-    good = materialize(verified.mapInPandas(verify, "a long, b long, ga string, gb string").dropDuplicates(["a", "b"]), "names-good")
-    ends = good.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("ga").alias("own"), F.col("gb").alias("other")), F.struct(F.col("b").alias("id"), F.col("gb").alias("own"), F.col("ga").alias("other")))))
-    vague = ends.filter("own = '' OR own LIKE 'i:%'").groupBy("id", "own").agg(F.collect_set("other").alias("others"))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def to_keep(own: pd.Series, others: pd.Series) -> pd.Series:
-        return pd.Series([consistent_neighbours(a, list(b)) for a, b in zip(own, others)])
-
-    allowed = vague.select("id", to_keep("own", "others").alias("keep"))
-    edges = good.join(allowed.select(F.col("id").alias("a"), F.col("keep").alias("keep_a")), "a", "left").join(allowed.select(F.col("id").alias("b"), F.col("keep").alias("keep_b")), "b", "left")
-    edges = edges.filter("(keep_a IS NULL OR array_contains(keep_a, gb)) AND (keep_b IS NULL OR array_contains(keep_b, ga))").select("a", "b").distinct()
-    edges = materialize(edges, "names-edges")
+    good = verified.mapInPandas(verify, "a long, b long, ga string, gb string").groupBy("a", "b").agg(F.min(F.struct("ga", "gb")).alias("x")).select("a", "b", "x.*")
+    good = materialize(good, "names-good")
+    edges = materialize(_unambiguous(good), "names-edges")
     comp = connected_components(edges, "a", "b")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = reps.select("form", F.col("id").alias("node")).join(comp, "node", "left").join(degree, "node", "left")
