@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,8 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _LOCAL_SCRATCH is None:
         _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="citeloom-")
         atexit.register(shutil.rmtree, _LOCAL_SCRATCH, True)
@@ -56,6 +60,18 @@ def clear_stages(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def measured_hash_joins(spark: SparkSession) -> Iterator[None]:
+    """Inside, adaptive execution hashes a join's side instead of sorting both where it has measured all its partitions as small."""
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB"))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as parquet in the shared scratch folder and read it back.
 
@@ -64,5 +80,6 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_stages(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with measured_hash_joins(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
