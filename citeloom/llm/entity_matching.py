@@ -1,15 +1,20 @@
 """Matching reference entries with source records: a cascade of deterministic rules.
 
 Method
-    The rules are exact joins on combinations of attributes, ever weaker, in three passes (PASSES).  A
-    pass joins hashed keys; its candidates must pass the exact check ``agree``.  What a pass resolves, an
-    entry for a service, leaves the cascade by an anti-join before the next pass, and of several rules
-    that resolve the same the strongest counts.  Records of one publication at one service that the same
-    rule finds all match.
+    The rules are exact joins on combinations of attributes, ever weaker, in three passes (PASSES).  In the
+    first pass equal titles with an equal author and no contradicting year decide by themselves; what the other
+    rules join must pass the exact check ``agree``, which reads titles, authors and years and nothing else.
+    What a pass resolves, an entry for a service, leaves the cascade by an anti-join before the next pass,
+    and of several rules that resolve the same the strongest counts.  Records of one publication at one
+    service that the same rule finds all match.
 
-    Confidence is the rule's precision on labelled pairs.  The labels come from attributes that no rule
-    joins on: where both sides have a volume and a first page, a pair is true if both agree and false if
-    neither does.  The labels are counted over all pairs a rule accepts, and the precision is smoothed, (true + a) / (true + false + a + b), then averaged with the pair's own score.
+    Confidence is the rule's precision on labelled pairs.  The labels come from attributes that neither rules
+    nor check read: where both sides have a volume and a first page, a pair is true if both agree and false if
+    neither does.  They are counted over all pairs a rule accepts, and the precision is smoothed,
+    (true + a) / (true + false + a + b).
+
+    No key stands for an author alone: it takes a second author, a word at an edge of the title or, for an
+    entry without a title, the year.
 
     What an entry's csl lacks of title, authors and year is read off its raw_text before the keys are built.
     A title read that way may be cut wrongly, so the work's title is also looked for in the whole raw_text.
@@ -43,13 +48,13 @@ class Params:
     sure_title: float = 0.86
     fair_title: float = 0.7
     shared_words: float = 0.45
-    poor_title: float = 0.55  # with all authors and the year the same
+    poor_title: float = 0.6  # with all authors and the year the same
 
 
 #: The passes, each with its rules from strong to weak: attributes that must be equal.  A rule's number is its place.
 PASSES: tuple[tuple[tuple[str, ...], ...], ...] = (
     (("title", "first author", "year"), ("title", "any author"), ("title of four words",)),
-    (("pair of authors",), ("any author", "year within one"), ("only author", "edge word of title")),
+    (("pair of authors",), ("any author", "edge word of title"), ("any author", "year within one", "no title")),
     (("three words of title", "year"), ("four words of title",)),
 )
 RULE_NAMES = [" + ".join(r) for rules in PASSES for r in rules]
@@ -192,12 +197,12 @@ def author_score(a: list[str], b: list[str]) -> float | None:
     return sum(any(_near(x, y) for y in long) for x in short) / len(short)
 
 
-def agree(entry: dict, work: dict, p: Params) -> float:
-    """Score of a candidate pair, 0 if it is no match: title, authors and year agree as far as they are there."""
+def agree(entry: dict, work: dict, p: Params) -> bool:
+    """Whether title, authors and year of a candidate pair agree as far as they are there; nothing else is read."""
     ye, yw = entry["year"], work["year"]
     y = None if ye is None or yw is None else abs(ye - yw)
     if y is not None and y > 1:
-        return 0.0
+        return False
     t = title_score(entry["words"], work["words"])
     held = held_score(work["words"], entry["raw"]) if t is not None and entry.get("raw") else 0.0
     if held > (t or 0.0):
@@ -205,40 +210,23 @@ def agree(entry: dict, work: dict, p: Params) -> float:
     generic = t is not None and min(len([w for w in s["words"] if w not in STOP_WORDS]) for s in (entry, work)) < 4
     if generic and (set(entry["words"]) <= set(work["words"]) or set(work["words"]) <= set(entry["words"])):
         t = 1.0
-    if t is not None and not generic and t < p.poor_title:
-        return 0.0  # whatever the authors
+    if t is not None and t < p.poor_title:
+        return False  # whatever the authors
     a = author_score(entry["families"], work["families"])
     if entry.get("raw") and work["families"]:  # blanks inside names come and go
         text = "".join(entry["raw"])
         named = sum(len(x) > 3 and x in text for x in work["families"]) / len(work["families"])
         a = max(a or 0.0, named) if a is not None or named >= 0.5 else None
-    if t is None and a is None:
-        return 0.0
-    extent = (entry["volume"] is not None and entry["volume"] == work["volume"]) + (entry["page"] is not None and entry["page"] == work["page"])
-    clash = (entry["volume"] is not None and work["volume"] is not None and entry["volume"] != work["volume"]) + (entry["page"] is not None and work["page"] is not None and entry["page"] != work["page"])
-    if a is not None and a < 0.5:
-        return 0.0
-    if t is None:  # no title: the authors must be the same and something else must agree
-        if a < 0.99 or len(entry["families"]) != len(work["families"]) or y is None or clash > extent or (y and not extent):
-            return 0.0
-        return 0.7 if extent or len(entry["families"]) > 1 else 0.5
-    if t < p.fair_title and not (t >= p.poor_title and a is not None and a >= 0.99 and y == 0 and not clash):
-        return 0.0
-    if generic:
-        return 0.0 if a is None or a < 0.99 or clash > extent or (y is None and not extent) else 0.8
-    if t < p.sure_title and (a is None or a < 0.99) and not extent:
-        return 0.0
-    if a is None and y is None and not extent and t < 0.95:
-        return 0.0
-    return t * (1.0 if a is None else 0.5 + 0.5 * a)
-
-
-def title_rule(entry: dict, work: dict) -> int:
-    """Which rule of the first pass two records of one title meet."""
-    if set(entry["families"]) & set(work["families"]):
-        same = entry["families"][0] == work["families"][0] and entry["year"] is not None and entry["year"] == work["year"]
-        return 0 if same else 1
-    return 2
+    if (t is None and a is None) or (a is not None and a < 0.5):
+        return False
+    all_authors = a is not None and a >= 0.99
+    if t is None:  # no title: several authors, all the same, in the same year
+        return all_authors and y == 0 and len(entry["families"]) == len(work["families"]) > 1
+    if t < p.fair_title or generic:
+        return all_authors and (y is not None if t >= p.fair_title else y == 0)
+    if t < p.sure_title:
+        return all_authors
+    return a is not None or y is not None or t >= 0.95
 
 
 def _keys(df: DataFrame, number: int, near: bool) -> DataFrame:
@@ -256,12 +244,14 @@ def _keys(df: DataFrame, number: int, near: bool) -> DataFrame:
         keys = F.when(m > 3, F.array(key(0, F.col("t")))).otherwise(F.transform(fam, lambda a: key(0, F.col("t"), a)))
     elif number == 1:
         pairs = F.flatten(F.transform(fam, lambda a: F.transform(F.filter(fam, lambda b: b > a), lambda b: key(3, a, b))))
-        # Spans of three years; the looking side takes the spans of the year before and the year after.
+        edges = F.array_distinct(F.concat(F.slice("c", 1, 2), F.slice("c", -1, 1)))
+        by_word = F.flatten(F.transform(fam, lambda a: F.transform(edges, lambda w: key(4, a, w))))
+        # Spans of three years, of which the entry asks those of the year before and after; only an entry without a title asks.
         span = lambda y: F.floor(y / 3).cast("int")
         years = F.array_distinct(F.array(span(year - 1), span(year + 1))) if near else F.array(span(year))
-        by_year = F.flatten(F.transform(fam, lambda a: F.transform(years, lambda y: key(4, a, y))))
-        edges = F.array_distinct(F.concat(F.slice("c", 1, 2), F.slice("c", -1, 1)))
-        keys = F.concat(pairs, F.when(year.isNotNull(), by_year).otherwise(no), F.when((n == 1) & (m > 0), F.transform(edges, lambda w: key(5, fam[0], w))).otherwise(no))
+        by_year = F.flatten(F.transform(fam, lambda a: F.transform(years, lambda y: key(5, a, y))))
+        asks = year.isNotNull() & ((m == 0) if near else F.lit(True))
+        keys = F.concat(pairs, by_word, F.when(asks, by_year).otherwise(no))
     else:
         runs = lambda k: F.when(m >= k, F.transform(F.sequence(F.lit(1), m - k + 1), lambda i: F.array_sort(F.slice("c", i, k)))).otherwise(F.array().cast("array<array<string>>"))
         keys = F.concat(F.when(year.isNotNull(), F.transform(runs(3), lambda w: key(6, w, year))).otherwise(no), F.transform(runs(4), lambda w: key(7, w)))
@@ -269,44 +259,49 @@ def _keys(df: DataFrame, number: int, near: bool) -> DataFrame:
 
 
 _CHECK = ("year", "families", "title", "volume", "page")
+_FOUND = ("entry", "work", "service", "rule", "same")
 
 
-def _scored(met: DataFrame, e: DataFrame, w: DataFrame, p: Params, by_title: bool) -> DataFrame:
-    """(entry, work, service, rule, score, same) of the pairs that agree; same is the label, null where there is none.
+def _with_attributes(met: DataFrame, e: DataFrame, w: DataFrame) -> DataFrame:
+    pairs = met.join(e.select(F.col("id").alias("entry"), *[F.col(c).alias(f"e_{c}") for c in (*_CHECK, "raw")]), "entry")
+    pairs = pairs.join(w.select(F.col("id").alias("work"), *[F.col(c).alias(f"w_{c}") for c in _CHECK]), "work")
+    volume, page = F.col("e_volume") == F.col("w_volume"), F.col("e_page") == F.col("w_page")
+    return pairs.withColumn("same", F.when(volume == page, volume))
 
-    by_title: the pairs met by words of their titles; those that share too few cannot agree.
-    """
-    pairs = met.join(e.select(F.col("id").alias("entry"), *[F.col(c).alias(f"e_{c}") for c in (*_CHECK, "raw")]).hint("shuffle_hash"), "entry")
-    pairs = pairs.join(w.select(F.col("id").alias("work"), *[F.col(c).alias(f"w_{c}") for c in _CHECK]).hint("shuffle_hash"), "work")
-    cols = ["entry", "work", "service", "rule", *[f"{k}_{c}" for k in "ew" for c in _CHECK], "e_raw"]
 
-    def side(year, families, title, volume, page) -> dict:
-        return {"year": year, "families": families.split("|") if families else [], "words": title.split(), "volume": volume, "page": page}
+def _decided(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the first pass that its rules decide by equality, and the rest; equal titles of few words decide nothing."""
+    names = lambda c: F.filter(F.split(c, r"\|"), lambda x: x != "")
+    telling = F.size(F.array_except(F.split("e_title", " "), F.array(*map(F.lit, sorted(STOP_WORDS))))) > 3
+    year = F.coalesce(F.abs(F.col("e_year") - F.col("w_year")) <= 1, F.lit(True))
+    sure = F.coalesce((F.col("e_title") == F.col("w_title")) & telling & year & F.arrays_overlap(names("e_families"), names("w_families")), F.lit(False))
+    first = (F.get(names("e_families"), F.lit(0)) == F.get(names("w_families"), F.lit(0))) & (F.col("e_year") == F.col("w_year"))
+    ruled = pairs.filter(sure).withColumn("rule", F.when(first, 0).otherwise(1)).select(*_FOUND)
+    return ruled, pairs.filter(~sure).withColumn("rule", F.lit(2))
+
+
+def _checked(pairs: DataFrame, p: Params, by_title: bool) -> DataFrame:
+    """The pairs that agree; by_title: those met by words of their titles, where those that share too few cannot."""
+    cols = [*_FOUND, *[f"{k}_{c}" for k in "ew" for c in _CHECK[:3]], "e_raw"]
+
+    def side(year, families, title) -> dict:
+        return {"year": year, "families": families.split("|") if families else [], "words": title.split()}
 
     def run(batches):
         for batch in batches:
-            out = []
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[4] is not None and r[4:7] == r[9:12] and r[5] and len(set(r[6].split()) - STOP_WORDS) > 3:  # equal in all: no need to look closer
-                    v, g = r[7] == r[12], r[8] == r[13]
-                    out.append((*r[:3], 0 if r[3] == 0 else r[3], 1.0, v if None not in (r[7], r[12], r[8], r[13]) and v == g else None))
-                    continue
-                x, y = side(*r[4:9]), side(*r[9:14])
-                if r[14]:
-                    x["raw"] = r[14].split()
-                score = agree(x, y, p)
-                if score > 0:
-                    r = (*r[:3], title_rule(x, y) if r[3] == 0 else r[3])
-                    known = None not in (x["volume"], y["volume"], x["page"], y["page"])
-                    v, g = x["volume"] == y["volume"], x["page"] == y["page"]
-                    out.append((*r, score, v if known and v == g else None))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], [*cols[:4], "score", "same"])
+            kept = []
+            for i, r in enumerate(zip(*(batch.column(n).to_pylist() for n in range(5, 12)))):
+                x, y = side(*r[:3]), side(*r[3:6])
+                if r[6]:
+                    x["raw"] = r[6].split()
+                if agree(x, y, p):
+                    kept.append(i)
+            yield batch.select(list(_FOUND)).take(pa.array(kept, pa.int32()))
 
     if by_title:
         s, t = (F.array_except(F.split(c, " "), F.array(*map(F.lit, sorted(STOP_WORDS)))) for c in (F.coalesce("e_raw", "e_title"), F.col("w_title")))
         pairs = pairs.filter(F.size(F.array_intersect(s, t)) >= p.shared_words * F.least(F.size(s), F.size(t)))
-    return pairs.select(cols).mapInArrow(run, "entry long, work long, service string, rule int, score double, same boolean")
+    return pairs.select(cols).mapInArrow(run, "entry long, work long, service string, rule int, same boolean")
 
 
 def match(entries: DataFrame, works: DataFrame, p: Params = Params()) -> DataFrame:
@@ -327,16 +322,22 @@ def match(entries: DataFrame, works: DataFrame, p: Params = Params()) -> DataFra
             open_entries = e.join(full, "id", "left_anti")
         left = _keys(open_entries, number, True).select(F.col("id").alias("entry"), "k", "rule")
         right = _keys(w, number, False).select(F.col("id").alias("work"), "service", "k")
-        met = left.hint("shuffle_hash").join(right, "k").groupBy("entry", "work", "service").agg(F.min("rule").alias("rule"))
+        met = left.join(right, "k").groupBy("entry", "work", "service").agg(F.min("rule").alias("rule"))
         if resolved is not None:
             met = met.join(resolved, ["entry", "service"], "left_anti")
-        parts.append(materialize(_scored(met, e, w, p, number == 2).distinct(), f"em-pass{number}"))
+        pairs = _with_attributes(met, e, w)
+        if number == 0:
+            ruled, pairs = _decided(pairs)
+            out = ruled.unionByName(_checked(pairs, p, False))
+        else:
+            out = _checked(pairs, p, number == 2)
+        parts.append(materialize(out.distinct(), f"em-pass{number}"))
     seen = reduce(DataFrame.unionByName, parts)
     strongest = F.min("rule").over(Window.partitionBy("entry", "service"))
     matched = seen.withColumn("strongest", strongest).filter("rule = strongest")
     labels = seen.filter("same IS NOT NULL").groupBy("rule").agg(F.count_if("same").alias("yes"), F.count("*").alias("n"))
     precision = labels.select("rule", ((F.col("yes") + p.prior_true) / (F.col("n") + p.prior_true + p.prior_false)).alias("precision"))
     unlabelled = p.prior_true / (p.prior_true + p.prior_false)
-    confidence = F.round((F.coalesce("precision", F.lit(unlabelled)) + F.col("score")) / 2, 4)
+    confidence = F.round(F.coalesce("precision", F.lit(unlabelled)), 4)
     name = F.element_at(F.array(*map(F.lit, RULE_NAMES)), F.col("rule") + 1)
     return matched.join(F.broadcast(precision), "rule", "left").select(F.col("entry").alias("entry_key"), F.col("work").alias("work_key"), "service", name.alias("rule"), confidence.alias("confidence"))  # one row a rule is broadcast

@@ -283,6 +283,33 @@ def test_scores_of_titles_and_authors():
     assert em.author_score(["doe", "roe"], ["roe"]) == 1.0 and em.author_score([], ["x"]) is None
 
 
+def test_confidence_is_close_to_the_precision_held_out(spark):
+    """Publications with twins by the same authors; every second entry has a volume and a page, the rest is held out."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice(["kar", "lon", "mis", "nur", "tes", "vol", "ped", "rim"]) for _ in range(3))
+    entries, works, truth = [], [], set()
+    for k in range(160):
+        names = [(word().capitalize(), "A.", None) for _ in range(1 + k % 3)]
+        title, year = " ".join(word() for _ in range(7)), 1980 + k % 30
+        twin = " ".join([*title.split()[:4], *(word() for _ in range(3))]) if k % 4 == 0 else " ".join(word() for _ in range(7))
+        for j, (text, key) in enumerate(((title, k), (twin, 1000 + k))):
+            works.append((key, "s", text, names, [[year]], str(k % 90 + j), f"{10 * k + j}-{10 * k + 9}"))
+        typed = typo(rng, title, k % 4)
+        entries.append((k, (typed, names, [[year]], str(k % 90) if k % 2 else None, f"{10 * k}" if k % 2 else None)))
+        truth.add((k, k))
+    person = "array<struct<family string, given string, literal string>>"
+    e = spark.createDataFrame(entries, f"entry_key long, csl struct<title string, author {person}, issued array<array<int>>, volume string, page string>")
+    w = spark.createDataFrame(works, f"work_key long, service string, title string, author {person}, issued array<array<int>>, volume string, page string")
+    got = em.match(e, w).collect()
+    pairs = {(r["entry_key"], r["work_key"]) for r in got}
+    assert len(pairs & truth) >= 0.95 * len(truth) and len(pairs & truth) >= 0.95 * len(pairs)
+    for rule in {r["rule"] for r in got}:
+        held_out = [(r["entry_key"], r["work_key"]) in truth for r in got if r["rule"] == rule and r["entry_key"] % 2 == 0]
+        if len(held_out) >= 20:
+            confidence = next(r["confidence"] for r in got if r["rule"] == rule)
+            assert abs(confidence - sum(held_out) / len(held_out)) < 0.12
+
+
 # ---------------------------------------------------------------- 6 canonical text
 
 
