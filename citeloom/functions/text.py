@@ -185,8 +185,14 @@ def latex(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Sentences of a reference: cut behind '.', '?' or '!', not behind an initial."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.?!])(?<![A-Z]\.)\s+(?=[A-Z\"“]|arXiv\b|in\s|pages\s)"), F.trim), lambda s: s != "")
+    """Sentences of a reference: what follows '.', '?' or '!' and starts like one begins the next, but not behind an initial.
+
+    Dots of initials and cuts are marked by control characters, so that no look-around is needed.
+    """
+    held = F.regexp_replace(c, r"([A-Z])\.", "$1\u0001")
+    cut = F.regexp_replace(held, r"([.?!])\s+([A-Z\"“]|arXiv\b|in\s|pages\s)", "$1\u0002$2")
+    parts = F.transform(F.split(cut, "\u0002"), lambda x: F.trim(F.replace(x, F.lit("\u0001"), F.lit("."))))
+    return F.filter(parts, lambda x: x != "")
 
 
 def sentence_at(text: Column, start: Column) -> Column:

@@ -66,6 +66,26 @@ def cite_commands(text: Column, known: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(shown, i), F.lit("")))), "")
 
 
+def cite_markers(markers: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(marker_key, latex)`` of bracketed markers: a cite command of the ids their numbers name, in order.
+
+    A marker none of whose numbers is known stays as it is.  Numbers meet entries by a join; only a marker's own
+    numbers come together in one row.  markers: marker_key, paper_id, raw; entries: paper_id, id, entry_ix, marker.
+    """
+    asked = markers.filter(F.col("raw").rlike(rf"^{tx.BRACKET}$")).select("marker_key", "paper_id", "raw", F.posexplode(tx.number_list(F.regexp_extract("raw", tx.BRACKET, 1))).alias("pos", "number"))
+    last = entries.filter("marker IS NOT NULL AND id IS NOT NULL").groupBy("paper_id", "marker").agg(F.max_by("id", F.struct("entry_ix", "entry_key")).alias("id"))
+    met = asked.withColumn("marker", F.col("number").cast("string")).join(last, ["paper_id", "marker"], "left")
+    ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))), lambda x: x["id"])
+    shown = met.groupBy("marker_key", "raw").agg(ids.alias("ids"))
+    latex = F.when(F.size("ids") > 0, F.concat(F.lit("\\cite{"), F.array_join("ids", ","), F.lit("}"))).otherwise(F.col("raw"))
+    return shown.select("marker_key", latex.alias("latex"))
+
+
+def tables_in(text: Column) -> Column:
+    """The markdown tables of a text: runs of two or more lines that begin with a bar."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"((?:^|\n)\|[^\n]*(?:\n\|[^\n]*)+)"), F.lit(1)), lambda t: F.regexp_replace(t, r"^\n", ""))
+
+
 def tabular(markdown: Column) -> Column:
     """A markdown table as a LaTeX table."""
     rows = F.filter(F.split(markdown, "\n"), lambda r: ~r.rlike(r"^\| ?---"))

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
+from citeloom.operators.entries import PARTICLES
 from citeloom.operators.prefix import running_sum
 
-PARTICLE = r"(?:(?:van|von|der|den|de|di|la|le|ter|ten|du|dos|da|del|della)\s+)*"
+PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)})\s+)*"
 SURNAME = rf"^({PARTICLE}[A-Z][\p{{L}}\d@&'’-]*)"
 
 
@@ -106,40 +107,54 @@ def drop_foreign_superscripts(spans: DataFrame, styles: DataFrame) -> DataFrame:
 
 
 def link_numbers(markers: DataFrame, entries: DataFrame) -> DataFrame:
-    """(marker_key, number, entry_key): entry_key is null where no entry has the number."""
-    numbers = tx.number_list(F.regexp_extract("raw", tx.BRACKET, 1))
-    wanted = markers.filter(F.col("raw").rlike(tx.BRACKET)).select("marker_key", "paper_id", F.explode(F.array_distinct(numbers)).alias("number")).withColumn("number", F.col("number").cast("long"))
+    """(marker_key, number, entry_key) of bracketed and superscript markers: entry_key is null where no entry has the number."""
+    inner = F.when(F.col("raw").rlike(tx.BRACKET), F.regexp_extract("raw", tx.BRACKET, 1)).when(F.col("raw").rlike(tx.SUPERSCRIPT), F.regexp_extract("raw", tx.SUPERSCRIPT, 1))
+    wanted = markers.withColumn("inner", inner).filter("inner IS NOT NULL").select("marker_key", "paper_id", F.explode(F.array_distinct(tx.number_list(F.col("inner")))).alias("number")).withColumn("number", F.col("number").cast("long"))
     last = entries.filter("marker IS NOT NULL").groupBy("paper_id", "marker").agg(F.max_by("entry_key", F.struct("entry_ix", "entry_key")).alias("entry_key"))
     return wanted.join(last, (wanted.paper_id == last.paper_id) & (F.col("number").cast("string") == last.marker), "left").select("marker_key", "number", "entry_key")
 
 
+# A year with its letters, which may go on behind commas: '2024a,b'.
+YEAR_LETTERS = r"((?:19|20)\d{2})((?:[a-z]\b(?:\s*,\s*[a-z]\b)*)?)"
+
+
+def author_year_cites(markers: DataFrame) -> DataFrame:
+    """Distinct (marker_key, paper_id, surname, year, letter): every year and letter of every cite of a marker.
+
+    A marker in parentheses holds cites between semicolons; a narrative one, 'Doe et al. (2001)', is one cite.
+    """
+    whole = F.regexp_extract("raw", r"^\((.*)\)$", 1)
+    parts = F.when(F.startswith("raw", F.lit("(")), F.split(whole, ";")).when(F.col("raw").rlike(r"^\p{L}.*\("), F.array("raw"))
+    cites = markers.select("marker_key", "paper_id", F.explode(parts).alias("cite")).withColumn("cite", F.trim("cite")).filter(F.col("cite").rlike(SURNAME))
+    both = F.arrays_zip(*[F.regexp_extract_all("cite", F.lit(YEAR_LETTERS), F.lit(i)).alias(n) for i, n in ((1, "year"), (2, "letters"))])
+    years = cites.select("marker_key", "paper_id", F.lower(F.regexp_extract("cite", SURNAME, 1)).alias("surname"), F.inline(both))
+    return years.select("marker_key", "paper_id", "surname", F.col("year").cast("int").alias("year"), F.explode(F.split("letters", r"\s*,\s*")).alias("letter")).distinct()
+
+
 def link_author_years(markers: DataFrame, entries: DataFrame) -> DataFrame:
     """Each author-year cite with the number of entries of its paper that fit; one is a link, more are ambiguous.
 
     An entry fits if its year is equal and the name is a family name, or stands as whole words in a literal
     author or among the first 120 characters of the entry.  Of several the one whose text has the year with
-    the cite's letter is meant, if it is only one.
+    the cite's letter is meant, if it is only one.  Cites and entries meet by paper, year and the name's last
+    word, of which an entry has few, so a paper with many entries of a year is no hot key.
     """
-    inner = F.explode(F.split(F.regexp_extract("raw", r"\((.*)\)$", 1), ";"))
-    cites = (
-        markers.filter("startswith(raw, '(')")
-        .select("marker_key", "paper_id", inner.alias("cite"))
-        .filter(F.col("cite").rlike(r"(?:19|20)\d{2}") & F.trim("cite").rlike(SURNAME))
-        .select(
-            "marker_key", "paper_id", F.lower(F.regexp_extract(F.trim("cite"), SURNAME, 1)).alias("surname"), F.regexp_extract("cite", r"((?:19|20)\d{2})", 1).cast("int").alias("year"),
-            F.regexp_extract("cite", r"(?:19|20)\d{2}([a-z]?)", 1).alias("letter"),
-        )
-        .distinct()
-    )
+    cites = author_year_cites(markers)
     spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\d]+", " "), F.lit(" "))
-    e = entries.select("entry_key", "paper_id", F.expr("try_element_at(try_element_at(csl.issued, 1), 1)").alias("year"), F.col("csl.author").alias("author"), spaced(F.lower(F.substring("raw_text", 1, 120))).alias("head"), "raw_text")
+    people = F.coalesce("author", F.array().cast("array<struct<family:string,given:string,literal:string>>"))
+    e = entries.select("entry_key", "paper_id", F.expr("try_element_at(try_element_at(csl.issued, 1), 1)").alias("year"), F.transform("csl.author", lambda a: F.struct(a["family"].alias("family"), F.lit(None).cast("string").alias("given"), a["literal"].alias("literal"))).alias("author"), "raw_text")
+    e = e.select("entry_key", "paper_id", "year", "raw_text", F.transform(people, lambda a: F.lower(a["family"])).alias("families"), F.transform(people, lambda a: spaced(F.lower(a["literal"]))).alias("literals"), spaced(F.lower(F.substring("raw_text", 1, 120))).alias("head"))
+    known = lambda c: F.filter(c, lambda x: x.isNotNull())
+    names = F.concat_ws(" ", known(F.transform("families", spaced)), known("literals"), "head")
+    words = e.filter("year IS NOT NULL").select("*", F.explode(F.array_distinct(F.split(names, " +"))).alias("word")).filter("word <> ''")
     name = spaced(F.col("surname"))
-    fits = F.exists(F.coalesce("author", F.array()), lambda a: F.coalesce((F.lower(a["family"]) == F.col("surname")) | F.contains(spaced(F.lower(a["literal"])), name), F.lower(a["family"]) == F.col("surname"), F.contains(spaced(F.lower(a["literal"])), name), F.lit(False)))
-    lettered = (F.col("letter") != "") & F.contains("raw_text", F.concat(F.col("year").cast("string"), F.col("letter")))
+    asked = cites.withColumn("word", F.element_at(F.split(F.trim(name), " +"), -1))
+    fits = F.exists("families", lambda f: F.coalesce(f == F.col("surname"), F.lit(False))) | F.exists("literals", lambda x: F.coalesce(F.contains(x, name), F.lit(False))) | F.coalesce(F.contains("head", name), F.lit(False))
+    lettered = (F.col("letter") != "") & F.coalesce(F.contains("raw_text", F.concat(F.col("year").cast("string"), F.col("letter"))), F.lit(False))
     key = ["marker_key", "surname", "year", "letter"]
     hit = (
-        cites.join(e, ["paper_id", "year"])
-        .filter(fits | F.coalesce(F.contains("head", name), F.lit(False)))
+        asked.join(words, ["paper_id", "year", "word"])
+        .filter(fits)
         .groupBy(*key)
         .agg(F.count("*").alias("n"), F.min("entry_key").alias("only"), F.count_if(lettered).alias("n_lettered"), F.min(F.when(lettered, F.col("entry_key"))).alias("by_letter"))
     )

@@ -89,17 +89,16 @@ def _hashes(*cols: str) -> list[Column]:
     return [F.xxhash64(*[F.col(c) for c in cols]).alias("_h1"), F.xxhash64(F.lit("second"), *[F.col(c) for c in cols]).alias("_h2")]
 
 
-def bloom_words(keys: DataFrame, cols: list[str], n_keys: int, fpp: float, max_filter_bytes: int) -> tuple[np.ndarray, int] | None:
-    """The filter's bit array over ``keys`` and the number of hashes, or None if it would be too large.
+def bloom_words(keys: DataFrame, cols: list[str], n_keys: int, fpp: float, max_filter_bytes: int) -> tuple[np.ndarray, int]:
+    """The filter's bit array over ``keys`` and the number of hashes.
 
     Bits are set with a distributed OR by 64-bit word; the driver receives at most max_filter_bytes of words.
+    Where the wished share of false positives takes more, the filter has that size and lets more through, which
+    the exact join looks at; what it rejects is an orphan at any size.
     """
-    bits = max(1024, int(math.ceil(-max(n_keys, 1) * math.log(fpp) / math.log(2) ** 2)))
+    bits = min(max(1024, int(math.ceil(-max(n_keys, 1) * math.log(fpp) / math.log(2) ** 2))), max(max_filter_bytes, 8) * 8)
     bits = (bits + 63) // 64 * 64
-    if bits // 8 > max_filter_bytes:
-        return None
-    k = max(1, round(bits / max(n_keys, 1) * math.log(2)))
-    k = min(k, 16)
+    k = min(max(1, round(bits / max(n_keys, 1) * math.log(2))), 16)
 
     def set_bits(batches):
         for pdf in batches:
@@ -131,30 +130,25 @@ def orphan_references(markers: DataFrame, entries: DataFrame, fpp: float = 0.01,
     parents = materialize(parent_keys(entries), "orphan-parents")
     key = ["paper_id", "kind", "ref_key"]
     filt = bloom_words(parents, key, parents.count(), fpp, max_filter_bytes)
-    if filt is None:
-        maybe, surely = refs.withColumn("_maybe", F.lit(True)), None
-    else:
-        words, k = spark.sparkContext.broadcast(filt[0]), filt[1]
-
-        @F.pandas_udf(T.BooleanType())
-        def might_hold(h1: pd.Series, h2: pd.Series) -> pd.Series:
-            array = words.value
-            pos = _positions(h1.to_numpy(), h2.to_numpy(), k, array.size * 64)
-            hit = (array[(pos >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (pos & np.uint64(63))) & np.uint64(1)
-            return pd.Series(hit.all(axis=1) if len(hit) else np.zeros(0, dtype=bool))
-
-        h1, h2 = _hashes(*key)
-        probed = materialize(refs.withColumn("_maybe", might_hold(h1, h2)), "orphan-refs")
-        maybe, surely = probed.filter("_maybe"), probed.filter("NOT _maybe")
+    words, k = spark.sparkContext.broadcast(filt[0]), filt[1]
+
+    @F.pandas_udf(T.BooleanType())
+    def might_hold(h1: pd.Series, h2: pd.Series) -> pd.Series:
+        array = words.value
+        pos = _positions(h1.to_numpy(), h2.to_numpy(), k, array.size * 64)
+        hit = (array[(pos >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (pos & np.uint64(63))) & np.uint64(1)
+        return pd.Series(hit.all(axis=1) if len(hit) else np.zeros(0, dtype=bool))
+
+    h1, h2 = _hashes(*key)
+    probed = materialize(refs.withColumn("_maybe", might_hold(h1, h2)), "orphan-refs")
+    maybe, surely = probed.filter("_maybe"), probed.filter("NOT _maybe")
     live = parents.alias("p")
     m = maybe.alias("m")
     on = [F.col(f"m.{c}") == F.col(f"p.{c}") for c in key] + [
         F.col("p.live_from") <= F.col("m.recorded_at"),
         F.col("p.live_to").isNull() | (F.col("p.live_to") > F.col("m.recorded_at")),
     ]
-    lost = m.join(live, on, "left_anti")
-    if surely is not None:
-        lost = lost.unionByName(surely)
+    lost = m.join(live, on, "left_anti").unionByName(surely)
     return lost.select("marker_key", "field", "ref_value", "recorded_at", "paper_id")
 
 

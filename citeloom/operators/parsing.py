@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
-from citeloom.operators import markers, structure
+from citeloom.operators import entries, markers, structure
 from citeloom.operators.prefix import chunk_of, running_sum
 from citeloom.session import materialize
 
@@ -18,20 +18,40 @@ def body_lines(lines: DataFrame) -> DataFrame:
     return structure.running_furniture(lines).filter("NOT furniture").select(lines.columns)
 
 
+def _in_sections(lines: DataFrame) -> DataFrame:
+    """Lines with the heading they are, if any, and the number of headings up to them in their paper."""
+    heads = structure.headings(lines).select("line_key", "level", "kind", "heading")
+    titled = lines.join(heads, "line_key", "left")
+    return running_sum(titled, ["paper_id"], chunk_of(F.col("line_no")), ["line_no", "line_key"], F.when(F.col("heading").isNotNull(), 1).otherwise(0), "section_ix")
+
+
+def reference_lines(lines: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, page, col_no, x_pos, text)``: the lines under headings of references."""
+    marked = _in_sections(lines)
+    lists = marked.filter(F.col("heading").rlike(structure.REF_HEADING)).select("paper_id", "section_ix")
+    kept = marked.filter("heading IS NULL AND text IS NOT NULL").join(lists, ["paper_id", "section_ix"], "left_semi")
+    return kept.select(F.col("paper_id").alias("doc_id"), "line_no", "page", "col_no", "x_pos", "text")
+
+
+def entries_of_lines(lines: DataFrame) -> DataFrame:
+    """``(paper_id, entry_ix, marker, text, too_short)`` of reference lines: numbered lists, else hanging indents."""
+    numbered = structure.segment_numbered(lines).select("doc_id", "entry_ix", "marker", "text", "too_short")
+    plain = lines.join(structure.entry_style(lines).filter("style = 'hanging-indent'"), "doc_id", "left_semi")
+    hanging = structure.segment_hanging(plain).select("doc_id", "entry_ix", F.lit(None).cast("string").alias("marker"), "text", "too_short")
+    return numbered.unionByName(hanging).withColumnRenamed("doc_id", "paper_id")
+
+
 def sections_of_lines(lines: DataFrame) -> DataFrame:
     """``(section_key, paper_id, section_ix, heading_level, heading, kind, paragraphs)``: lines cut at their headings.
 
     A section takes the lines up to the next heading; what stands before the first is front matter of level
     0.  Sections under a heading of references are kept apart by ``kind = 'references'``.
     """
-    heads = structure.headings(lines).select("line_key", "level", "kind", "heading")
-    titled = lines.join(heads, "line_key", "left")
-    marked = running_sum(titled, ["paper_id"], chunk_of(F.col("line_no")), ["line_no", "line_key"], F.when(F.col("heading").isNotNull(), 1).otherwise(0), "section_ix")
+    marked = _in_sections(lines)
     named = marked.filter("heading IS NOT NULL").select("paper_id", "section_ix", "heading", F.col("level").alias("heading_level"))
-    body = structure.paragraphs(marked.filter("heading IS NULL").withColumn("paper_id", F.concat_ws("|", "paper_id", F.col("section_ix").cast("string"))))
+    body = structure.paragraphs(marked.filter("heading IS NULL"), ("section_ix",))
     rows = F.array_sort(F.collect_list(F.struct("page", "col_no", "para_ix", "text")))
-    texts = body.groupBy("paper_id").agg(F.filter(F.transform(rows, lambda r: r["text"]), lambda t: t != "").alias("paragraphs"))
-    texts = texts.select(F.substring_index("paper_id", "|", 1).alias("paper_id"), F.substring_index("paper_id", "|", -1).cast("long").alias("section_ix"), "paragraphs")
+    texts = body.groupBy("paper_id", "section_ix").agg(F.filter(F.transform(rows, lambda r: r["text"]), lambda t: t != "").alias("paragraphs"))
     both = named.join(texts, ["paper_id", "section_ix"], "full")
     kind = F.when(F.col("heading").rlike(structure.REF_HEADING), "references").when(F.col("heading").isNull(), "front").otherwise("body")
     return both.select(
@@ -107,16 +127,35 @@ class Parsed:
     abstracts: DataFrame
     markers: DataFrame
     styles: DataFrame
+    entries: DataFrame
+    numbers: DataFrame
+    cites: DataFrame
+    failures: DataFrame
 
 
-def parse(lines: DataFrame) -> Parsed:
-    """From lines to markers: the chain of the operators above, nothing is collected on the way.
+def parse(lines: DataFrame, as_of_year: int = 2026) -> Parsed:
+    """From lines to markers linked to entries: the chain of the operators above, nothing is collected on the way.
 
-    Lines and sections are written once, as several of the tables read them.
+    Lines, sections and entries are written once, as several of the tables read them.  ``numbers`` and ``cites``
+    link markers (marker_key) to entries (entry_key); ``failures`` has (paper_id, stage, kind, n).
     """
     body = materialize(body_lines(lines), "parse-lines")
     sections = materialize(sections_of_lines(body), "parse-sections")
     text = sections.filter("kind <> 'references'")
     found = markers.find_markers(text)
     styles = markers.style_vote(found)
-    return Parsed(body, structure.titles(body), sections, abstracts(sections), markers.drop_foreign_superscripts(found, styles).drop("style"), styles)
+    spans = markers.drop_foreign_superscripts(found, styles).drop("style").withColumn("marker_key", F.xxhash64("paper_id", "seq"))
+    listed = materialize(reference_lines(body), "parse-references")
+    cut = entries_of_lines(listed).withColumn("entry_key", F.xxhash64("paper_id", "entry_ix"))
+    cut = materialize(cut, "parse-entries")
+    kept = cut.filter("NOT too_short")
+    read = entries.entry_fields(kept.select("entry_key", "text"), "entry_key", as_of_year)
+    full = kept.join(read, "entry_key")
+    csl = F.struct("title", F.col("authors").alias("author"), F.when(F.col("year").isNotNull(), F.array(F.array("year"))).alias("issued"))
+    known = full.select("entry_key", "paper_id", "entry_ix", "marker", F.col("text").alias("raw_text"), csl.alias("csl"))
+    titles, found_abstracts = structure.titles(body), abstracts(sections)
+    papers = body.select("paper_id").distinct()
+    none = lambda df, stage, kind: papers.join(df.select("paper_id"), "paper_id", "left_anti").select("paper_id", F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("n"))
+    segment = structure.segment_failures(listed).select(F.col("doc_id").alias("paper_id"), F.lit("segment").alias("stage"), "kind", "n")
+    failures = none(titles, "structure", "no-title").unionByName(none(found_abstracts, "structure", "no-abstract")).unionByName(none(kept, "references", "no-references")).unionByName(segment)
+    return Parsed(body, titles, sections, found_abstracts, spans, styles, full, markers.link_numbers(spans, known), markers.link_author_years(spans, known), failures)

@@ -6,6 +6,9 @@ depends on order is a window over a paper, or over a page where the page is enou
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +45,9 @@ def page_edges(lines: DataFrame) -> DataFrame:
     """Lines with the extent of their page and whether they stand in its upper or lower 8 %."""
     page = lines.groupBy("paper_id", "page").agg(F.max("y_pos").alias("top"))
     near = (F.col("y_pos") > 0.92 * F.col("height")) | (F.col("y_pos") < 0.08 * F.col("height"))
-    return lines.join(page, ["paper_id", "page"]).withColumn("height", F.col("top") * 1.05).withColumn("near_edge", F.coalesce((F.col("height") > 0) & near, F.lit(False)))
+    same = F.col("l.paper_id").eqNullSafe(F.col("e.paper_id")) & F.col("l.page").eqNullSafe(F.col("e.page"))  # lines without a page stay
+    edged = lines.alias("l").join(page.alias("e"), same).select("l.*", "e.top")
+    return edged.withColumn("height", F.col("top") * 1.05).withColumn("near_edge", F.coalesce((F.col("height") > 0) & near, F.lit(False)))
 
 
 def running_furniture(lines: DataFrame) -> DataFrame:
@@ -97,18 +102,20 @@ def reading_order(lines: DataFrame) -> DataFrame:
     return lines.withColumn("place", F.row_number().over(order).cast("long"))
 
 
-def paragraphs(lines: DataFrame) -> DataFrame:
+def paragraphs(lines: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """(paper_id, page, col_no, para_ix, n_lines, text): islands of lines on a page, joined without their hyphens.
 
     A paragraph ends at a gap of 1.6 times the page's upper median gap, or of 1.1 times if the next line is indented.
+    within: further columns whose change ends a paragraph, such as a section; they are in the result.
     """
-    flow = ["paper_id", "page", "col_no"]
+    flow = ["paper_id", *within, "page", "col_no"]
     order = Window.partitionBy(*flow).orderBy("line_no")
     gaps = lines.filter("text IS NOT NULL AND y_pos IS NOT NULL").withColumn("gap", F.lag("y_pos").over(order) - F.col("y_pos")).withColumn("shift", F.col("x_pos") - F.lag("x_pos").over(order))
     sizes = gaps.groupBy(*flow).agg(F.sort_array(F.collect_list("gap")).alias("all"))
     median = sizes.select(*flow, F.coalesce(F.nullif(F.get("all", F.floor(F.size("all") / 2).cast("int")), F.lit(0.0)), F.lit(12.0)).alias("median"))
     broken = (F.col("gap") > F.col("median") * 1.6) | ((F.col("shift") > 5) & (F.col("gap") > F.col("median") * 1.1))
-    marked = gaps.join(median, flow).withColumn("start", F.coalesce(broken.cast("int"), F.lit(0)))
+    same = reduce(and_, [F.col(f"g.{c}").eqNullSafe(F.col(f"m.{c}")) for c in flow])
+    marked = gaps.alias("g").join(median.alias("m"), same).select("g.*", "m.median").withColumn("start", F.coalesce(broken.cast("int"), F.lit(0)))
     island = marked.withColumn("para_ix", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
     return island.groupBy(*flow, "para_ix").agg(F.count("*").alias("n_lines"), F.trim(tx.join_wrapped(texts)).alias("text"))
@@ -137,7 +144,7 @@ def entry_style(lines: DataFrame) -> DataFrame:
 
 
 def segment_numbered(lines: DataFrame) -> DataFrame:
-    """Entries of numbered lists: (doc_id, entry_ix, marker, text, too_short); lines before the first number fall away."""
+    """Entries of numbered lists: (doc_id, entry_ix, marker, text, too_short); lines before the first number are told by ``segment_failures``."""
     styled = lines.join(entry_style(lines), "doc_id").filter("style <> 'hanging-indent'")
     pattern = F.when(F.col("style") == "bracket", F.regexp_extract("text", BRACKET_START, 1)).otherwise(F.regexp_extract("text", DOT_START, 1))
     cut = F.when(pattern != "", F.when(F.col("style") == "bracket", F.regexp_replace("text", BRACKET_START, "")).otherwise(F.regexp_replace("text", r"^(\d{1,3})\.\s+", ""))).otherwise(F.col("text"))
@@ -160,6 +167,24 @@ def segment_hanging(lines: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "entry_ix").agg(tx.squeeze(tx.join_wrapped(texts)).alias("text")).withColumn("too_short", F.length("text") < 20)
 
 
+def segment_failures(lines: DataFrame) -> DataFrame:
+    """``(doc_id, kind, n)``: what went wrong in cutting numbered lists to entries.
+
+    'preamble': lines before the first number, which belong to no entry; 'too-short': entries of under twenty
+    characters; 'sequence-gap': numbers that do not go on by one.  lines has doc_id, line_no, text.
+    """
+    styled = lines.join(entry_style(lines), "doc_id").filter("style <> 'hanging-indent'")
+    begins = F.when(F.col("style") == "bracket", F.col("text").rlike(BRACKET_START)).otherwise(F.col("text").rlike(DOT_START))
+    first = styled.filter(begins).groupBy("doc_id").agg(F.min("line_no").alias("first"))
+    preamble = styled.join(first, "doc_id").filter("line_no < first").groupBy("doc_id").agg(F.count("*").alias("n"))
+    cut = segment_numbered(lines)
+    short = cut.filter("too_short").groupBy("doc_id").agg(F.count("*").alias("n"))
+    gaps = sequence_gaps(cut.select(F.col("doc_id").alias("paper_id"), F.col("entry_ix").alias("entry_key"), F.col("entry_ix").cast("int").alias("entry_ix"), "marker"))
+    gaps = gaps.groupBy(F.col("paper_id").alias("doc_id")).agg(F.count("*").alias("n"))
+    kinds = (("preamble", preamble), ("too-short", short), ("sequence-gap", gaps))
+    return reduce(DataFrame.unionByName, [df.select("doc_id", F.lit(k).alias("kind"), "n") for k, df in kinds])
+
+
 def sequence_gaps(entries: DataFrame) -> DataFrame:
     """Places where the list numbers of a paper do not go on by one: (paper_id, entry_ix, previous, number)."""
     number = F.col("marker").try_cast("int")

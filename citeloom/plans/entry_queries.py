@@ -30,7 +30,9 @@ def entry_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entry_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.entry_fields(_raw(spark, sf_dir), "raw_key")
+    """Fields of every raw entry; authors as 'family, given' or the literal, in order."""
+    shown = F.transform("authors", lambda a: F.coalesce(a["literal"], F.concat_ws(", ", a["family"], a["given"])))
+    return ops.entry_fields(_raw(spark, sf_dir), "raw_key").withColumn("authors", F.array_join(shown, "; "))
 
 
 def paper_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +106,7 @@ def resolved_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole cascade over all entries: identifiers of the text, then titles."""
     e, ids = _entries(spark, sf_dir), F.col("raw_text")
     entries = e.select("entry_key", "paper_id", "entry_ix", "title", "year", "raw_text", tx.doi_of(ids).alias("doi"), tx.arxiv_of(ids).alias("arxiv"), F.lit(None).cast("string").alias("status"))
-    works = _works(spark, sf_dir).withColumn("arxiv", F.lit(None).cast("string"))
+    works = _works(spark, sf_dir).withColumn("arxiv", F.nullif(F.regexp_extract(F.lower("doi"), r"^10\.48550/arxiv\.(.+)$", 1), F.lit("")))
     return workflow.resolve(entries, works).withColumn("score", F.round("score", 6))
 
 
@@ -138,12 +140,35 @@ _SCORE = "CASE WHEN len(list_intersect(a.t, b.t)) = least(len(a.t), len(b.t)) AN
 _PAIRS = f"""et AS (SELECT *, {_TOK} AS t FROM {_E} WHERE title IS NOT NULL), wt AS (SELECT *, {_TOK} AS t FROM {_W} WHERE title IS NOT NULL),
 pairs AS (SELECT a.entry_key, b.work_key, {_SCORE} AS score FROM et a JOIN wt b ON len(a.t) > 0 AND len(b.t) > 0 WHERE {_SCORE} >= 0.75)"""
 
+_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, '([A-Z])\.', '\1' || chr(1), 'g'), '([.?!])\s+([A-Z"“]|arXiv\b|in\s|pages\s)', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '')"""
+_LONG = r"(len(string_split_regex({0}, '\s+')) >= 3 AND NOT regexp_matches({0}, '(?i)\b10\.\d{{4,9}}/'))"
+_BARE = r"""regexp_replace(regexp_replace({0}, '\.$', ''), '^["“]|["”]$', '', 'g')"""
+_LATER = r"""list_filter(segments[2:4], lambda c: len(string_split_regex(c, '\s+')) >= 3 AND NOT regexp_matches(c, '(?i)\b10\.\d{4,9}/') AND NOT regexp_matches(c, '(?i)^(?:in|proceedings|journal|arxiv)\b')
+    AND len(list_filter(string_split_regex(c, '\s+'), lambda w: regexp_matches(w, '^[A-Z]\.?,?$'))) < 0.4 * len(string_split_regex(c, '\s+')))[1]"""
+_PERSON = ops.PERSON.replace("'", "''")
+
 SQL = {
     "entry_identifiers": r"""
 SELECT DISTINCT raw_key, nullif(regexp_replace(regexp_extract(text, '(?i)(?:^|[^0-9A-Za-z_])(10\.\d{4,9}/[^\s"<>;,]+)', 1), '[.,;)\]]+$', ''), '') AS doi,
   nullif(regexp_extract(text, '(?i)(?:arxiv[:\s]*|abs/)(\d{4}\.\d{4,5})(v\d+)?', 1), '') AS arxiv,
   list_filter(list_transform(regexp_extract_all(text, '\b((?:19|20)\d{2})[a-z]?\b', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1900 AND 2027)[-1] AS year
 FROM raw_entries WHERE text IS NOT NULL""",
+    "entry_fields": rf"""
+WITH r AS (SELECT DISTINCT raw_key, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM raw_entries WHERE text IS NOT NULL),
+s AS (SELECT *, {_SENTENCES.format('t')} AS segments, regexp_extract(t, '\((?:19|20)\d{{2}}[a-z]?\)[.:]?\s+(.+)$', 1) AS rest,
+    regexp_replace(regexp_extract(t, '["“]([^"“”]{{15,300}})["”]', 1), '[\s,.]+$', '') AS quoted, regexp_replace(regexp_extract(t, '^([^"“]+)["“]', 1), '[,\s]+$', '') AS before_quote FROM r),
+h AS (SELECT *, CASE WHEN before_quote <> '' THEN before_quote ELSE coalesce(segments[1], '') END AS head, ({_SENTENCES.format('rest')})[1] AS dated FROM s),
+b AS (SELECT *, regexp_replace(regexp_replace(head, '(?i)\bet al\b\.?', '', 'g'), '([^A-Z])\.\s*$', '\1') AS bare FROM h),
+a AS (SELECT *, regexp_replace(bare, '(?i),?\s+and\s+', ', ', 'g') || ',' AS listed FROM b),
+u AS (SELECT *, list_filter(list_zip(regexp_extract_all(listed, '{ops.AUTHOR_UNIT}', 1), regexp_extract_all(listed, '{ops.AUTHOR_UNIT}', 2), regexp_extract_all(listed, '{ops.AUTHOR_UNIT}', 3)), lambda x: len(trim(coalesce(x[1], '') || coalesce(x[3], ''))) > 1) AS units FROM a)
+SELECT raw_key, nullif(regexp_replace(regexp_extract(text, '(?i)(?:^|[^0-9A-Za-z_])(10\.\d{{4,9}}/[^\s"<>;,]+)', 1), '[.,;)\]]+$', ''), '') AS doi,
+  nullif(regexp_extract(text, '(?i)(?:arxiv[:\s]*|abs/)(\d{{4}}\.\d{{4,5}})(v\d+)?', 1), '') AS arxiv,
+  list_filter(list_transform(regexp_extract_all(text, '\b((?:19|20)\d{{2}})[a-z]?\b', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1900 AND 2027)[-1] AS year,
+  coalesce(CASE WHEN {_LONG.format('quoted')} THEN quoted END, CASE WHEN {_LONG.format('dated')} THEN {_BARE.format('dated')} END,
+    regexp_replace({_BARE.format(_LATER)}, ',\s*(?:19|20)\d{{2}}$', '')) AS title,
+  CASE WHEN trim(bare) = '' OR len(bare) > 300 THEN '' ELSE array_to_string(list_slice(list_transform(units, lambda x: CASE WHEN coalesce(x[2], '') <> '' THEN trim(coalesce(x[1], '')) || ', ' || trim(coalesce(x[2], ''))
+    WHEN regexp_matches(trim(coalesce(x[3], '')), '{_PERSON}') AND regexp_extract(trim(coalesce(x[3], '')), '{ops.GIVEN_FAMILY}', 2) <> '' THEN regexp_extract(trim(coalesce(x[3], '')), '{ops.GIVEN_FAMILY}', 2) || ', ' || regexp_extract(trim(coalesce(x[3], '')), '{ops.GIVEN_FAMILY}', 1)
+    ELSE trim(coalesce(x[3], '')) END), 1, 30), '; ') END AS authors FROM u""",
     "paper_year": f"""
 SELECT paper_id, CAST(coalesce(greatest(max(year), least(year(min(recorded_at)), max(year) + 1)), max(year), year(min(recorded_at))) AS INTEGER) AS paper_year FROM {_E} GROUP BY paper_id""",
     "title_similarity_pairs": f"WITH {_PAIRS} SELECT entry_key, work_key, round(score, 6) AS score FROM pairs",
@@ -157,8 +182,8 @@ SELECT entry_key, work_key, service, round(score, 6) AS score, status FROM v
 QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY CASE status WHEN 'verified' THEN 0 ELSE 1 END, CASE service WHEN 'openalex' THEN 0 ELSE 1 END, score DESC, work_key) = 1""".replace("\\\\", "\\"),
     "resolution_cascade": f"""
 WITH m AS (SELECT *, lower(doi) AS d, lower(title) || '|' || year AS n FROM {_W} WHERE service = 'semanticscholar'), o AS (SELECT *, lower(doi) AS d, lower(title) || '|' || year AS n FROM {_W} WHERE service = 'openalex'),
-h1 AS (SELECT a.work_key, b.work_key AS other_key, 'doi' AS via FROM (SELECT d, max(work_key) AS work_key FROM m WHERE d IS NOT NULL GROUP BY d) a JOIN (SELECT d, max(work_key) AS work_key FROM o WHERE d IS NOT NULL GROUP BY d) b USING (d)),
-h2 AS (SELECT a.work_key, b.work_key AS other_key, 'title-year' AS via FROM (SELECT n, max(work_key) AS work_key FROM m WHERE n IS NOT NULL AND work_key NOT IN (SELECT work_key FROM h1) GROUP BY n) a JOIN (SELECT n, max(work_key) AS work_key FROM o WHERE n IS NOT NULL GROUP BY n) b USING (n))
+h1 AS (SELECT a.work_key, b.work_key AS other_key, 'doi' AS via FROM m a JOIN (SELECT d, max(work_key) AS work_key FROM o WHERE d IS NOT NULL GROUP BY d) b USING (d)),
+h2 AS (SELECT a.work_key, b.work_key AS other_key, 'title-year' AS via FROM (SELECT * FROM m WHERE work_key NOT IN (SELECT work_key FROM h1)) a JOIN (SELECT n, max(work_key) AS work_key FROM o WHERE n IS NOT NULL GROUP BY n) b USING (n))
 SELECT * FROM h1 UNION ALL SELECT * FROM h2""",
     "missing_candidates": f"""
 WITH {_PAIRS} SELECT work_key FROM {_W} w WHERE title IS NOT NULL AND (year IS NULL OR year = 0 OR year <= 2020)
@@ -176,8 +201,8 @@ SELECT work_key, key FROM r WHERE key NOT IN (SELECT key FROM r WHERE service =
 WITH w AS (SELECT work_key, year, {_TOK} AS t FROM {_W} WHERE title IS NOT NULL), n AS (SELECT count(*) AS n FROM w),
 ww AS (SELECT work_key, unnest(t) AS w FROM w), d AS (SELECT w, count(*) AS df, ln((any_value(n) + 1.0) / count(*)) AS idf FROM ww, n GROUP BY w),
 q AS (SELECT entry_key AS query_id, year + 1 AS most, unnest({_TOK.replace('title', _SEARCH)}) AS w FROM {_E} WHERE title IS NOT NULL),
-k AS (SELECT q.*, df, idf, row_number() OVER (PARTITION BY query_id ORDER BY df, q.w) AS rn FROM q JOIN d ON d.w = q.w),
-m AS (SELECT query_id, work_key, round(sum(idf), 6) AS relevance, any_value(most) AS most FROM k JOIN ww ON ww.w = k.w, n WHERE df <= greatest(n.n // 50, 1) OR rn = 1 GROUP BY 1, 2)
+k AS (SELECT q.*, idf FROM q JOIN d ON d.w = q.w),
+m AS (SELECT query_id, work_key, round(sum(idf), 6) AS relevance, any_value(most) AS most FROM k JOIN ww ON ww.w = k.w GROUP BY 1, 2)
 SELECT query_id, m.work_key, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, m.work_key) AS place FROM m JOIN w ON w.work_key = m.work_key WHERE most IS NULL OR year IS NULL OR year <= most
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, m.work_key) <= 5""".replace("{{", "{").replace("}}", "}"),
     "search_queries": rf"""

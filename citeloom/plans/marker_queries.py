@@ -121,15 +121,17 @@ SELECT paper_id, string_agg(v, chr(10) ORDER BY rn) AS cites FROM f WHERE rn <=
     "style_markers": f"""WITH {_SPANS}, {_VOTE} SELECT section_key, CAST(para_ix AS BIGINT) AS para_ix, start_pos, raw FROM spans JOIN styles USING (paper_id)
 WHERE style = 'superscript' OR NOT starts_with(raw, '⟦^')""",
     "numeric_links": rf"""
-WITH parts AS (SELECT marker_key, paper_id, unnest(string_split_regex(regexp_extract(raw, '\[(\d{{1,3}}(?:\s*[,–-]\s*\d{{1,3}})*)\]', 1), '[,;]')) AS part FROM {_M} WHERE regexp_matches(raw, '\[(\d{{1,3}}(?:\s*[,–-]\s*\d{{1,3}})*)\]')),
+WITH parts AS (SELECT marker_key, paper_id, unnest(string_split_regex(CASE WHEN regexp_matches(raw, '\[(\d{{1,3}}(?:\s*[,–-]\s*\d{{1,3}})*)\]') THEN regexp_extract(raw, '\[(\d{{1,3}}(?:\s*[,–-]\s*\d{{1,3}})*)\]', 1) ELSE regexp_extract(raw, '⟦\^([\d\s,;–-]+)⟧', 1) END, '[,;]')) AS part
+  FROM {_M} WHERE regexp_matches(raw, '\[(\d{{1,3}}(?:\s*[,–-]\s*\d{{1,3}})*)\]') OR regexp_matches(raw, '⟦\^([\d\s,;–-]+)⟧')),
 ends AS (SELECT marker_key, paper_id, list_transform(string_split_regex(part, '[–-]'), lambda x: try_cast(trim(x) AS INTEGER)) AS e FROM parts),
 nums AS (SELECT DISTINCT marker_key, paper_id, unnest(CASE WHEN len(e) = 2 AND e[2] > e[1] THEN range(e[1], least(e[2], e[1] + 99) + 1) WHEN e[1] IS NOT NULL THEN [e[1]] ELSE [] END) AS number FROM ends),
 last_one AS (SELECT paper_id, marker, arg_max(entry_key, (entry_ix, entry_key)) AS entry_key FROM {_E} WHERE marker IS NOT NULL GROUP BY 1, 2)
 SELECT marker_key, CAST(number AS BIGINT) AS number, entry_key FROM nums LEFT JOIN last_one l ON l.paper_id = nums.paper_id AND l.marker = CAST(number AS VARCHAR)""",
     "author_year_links": rf"""
-WITH inner_text AS (SELECT marker_key, paper_id, unnest(string_split(regexp_extract(raw, '\((.*)\)$', 1), ';')) AS cite FROM {_M} WHERE starts_with(raw, '(')),
-cites AS (SELECT DISTINCT marker_key, paper_id, lower(regexp_extract(trim(cite), '^((?:(?:van|von|der|den|de|di|la|le|ter|ten|du|dos|da|del|della)\s+)*[A-Z][\p{{L}}\d@&''’-]*)', 1)) AS surname, CAST(regexp_extract(cite, '((?:19|20)\d{{2}})', 1) AS INTEGER) AS year, regexp_extract(cite, '(?:19|20)\d{{2}}([a-z]?)', 1) AS letter
-  FROM inner_text WHERE regexp_matches(cite, '(?:19|20)\d{{2}}') AND regexp_matches(trim(cite), '^((?:(?:van|von|der|den|de|di|la|le|ter|ten|du|dos|da|del|della)\s+)*[A-Z][\p{{L}}\d@&''’-]*)')),
+WITH parts AS (SELECT marker_key, paper_id, trim(unnest(CASE WHEN starts_with(raw, '(') THEN string_split(regexp_extract(raw, '^\((.*)\)$', 1), ';') WHEN regexp_matches(raw, '^\p{{L}}.*\(') THEN [raw] ELSE [] END)) AS cite FROM {_M}),
+named AS (SELECT marker_key, paper_id, cite, lower(regexp_extract(cite, '{ops.SURNAME.replace("'", "''")}', 1)) AS surname FROM parts WHERE regexp_matches(cite, '{ops.SURNAME.replace("'", "''")}')),
+years AS (SELECT marker_key, paper_id, surname, unnest(regexp_extract_all(cite, '{ops.YEAR_LETTERS}', 1)) AS year, unnest(regexp_extract_all(cite, '{ops.YEAR_LETTERS}', 2)) AS letters FROM named),
+cites AS (SELECT DISTINCT marker_key, paper_id, surname, CAST(year AS INTEGER) AS year, unnest(string_split_regex(letters, '\s*,\s*')) AS letter FROM years),
 fits AS (SELECT c.marker_key, c.surname, c.year, c.letter, e.entry_key, c.letter <> '' AND contains(e.raw_text, c.year || c.letter) AS lettered FROM cites c JOIN {_E} e ON e.paper_id = c.paper_id AND e.csl.issued[1][1] = c.year
   WHERE list_contains(list_transform(e.csl.author, lambda a: lower(a.family)), c.surname)
     OR len(list_filter(e.csl.author, lambda a: contains(' ' || regexp_replace(lower(a.literal), '[^\p{{L}}\d]+', ' ', 'g') || ' ', ' ' || regexp_replace(c.surname, '[^\p{{L}}\d]+', ' ', 'g') || ' '))) > 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,21 +146,20 @@ def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").filter(tx.is_markdown_table(F.col("text")) & ~F.col("text").rlike(r"\n[^|]"))
-    return docs.select("doc_id", export.tabular(F.col("text")).alias("latex"))
+    """Every table of every document as LaTeX."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(export.tables_in(F.regexp_replace("text", "\r", ""))).alias("table_ix", "t"))
+    return docs.filter(tx.is_markdown_table(F.col("t"))).select("doc_id", "table_ix", export.tabular(F.col("t")).alias("latex"))
 
 
 def cite_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bracketed markers as cite commands, with the ids of their paper's numbered entries."""
-    e = once(table(spark, sf_dir, "ref_entries", "entry_key", "paper_id", "id", "entry_ix", "marker")).filter("marker IS NOT NULL AND id IS NOT NULL")
-    last = e.groupBy("paper_id", "marker").agg(F.max_by("id", F.struct("entry_ix", "entry_key")).alias("id"))
-    known = last.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("marker", "id"))).alias("known"))
-    m = _markers(spark, sf_dir).filter("startswith(raw, '[')").select("marker_key", "paper_id", "raw")
-    return m.join(known, "paper_id").select("marker_key", export.cite_commands(F.col("raw"), F.col("known")).alias("latex"))
+    e = once(table(spark, sf_dir, "ref_entries", "entry_key", "paper_id", "id", "entry_ix", "marker"))
+    return export.cite_markers(_markers(spark, sf_dir).select("marker_key", "paper_id", "raw"), e)
 
 
 def csl_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.bibliography(_entries(spark, sf_dir), "apa")
+    """Bibliography lines in each of the styles."""
+    return reduce(DataFrame.unionByName, [export.bibliography(_entries(spark, sf_dir), s).withColumn("style", F.lit(s)) for s in ("apa", "vancouver", "harvard1")])
 
 
 # reports
@@ -273,6 +274,13 @@ SELECT paper_id, string_agg(line, chr(10) || chr(10) ORDER BY section_ix, sectio
 WITH l AS (SELECT paper_id, section_ix, section_key, array_to_string(list_prepend(repeat('#', CAST(least(CASE WHEN heading_level > 0 THEN heading_level + 1 ELSE 2 END, 6) AS INTEGER)) || ' ' || coalesce(heading, ''),
   list_transform(list_filter(paragraphs, lambda p: p IS NOT NULL), lambda p: regexp_replace(p, '⟦\^([\d\s,;–-]+)⟧', '[\1]', 'g'))), chr(10) || chr(10)) AS line FROM {_S})
 SELECT paper_id, string_agg(line, chr(10) || chr(10) ORDER BY section_ix, section_key) AS text FROM l GROUP BY paper_id""",
+    "cite_commands": rf"""
+WITH s AS (SELECT marker_key, paper_id, raw, string_split_regex(regexp_extract(raw, {_BRACKET}, 1), '[,;]') AS parts FROM {_M} WHERE regexp_full_match(raw, {_BRACKET})),
+o AS (SELECT marker_key, paper_id, raw, generate_subscripts(parts, 1) AS i, list_transform(string_split_regex(unnest(parts), '[–-]'), lambda x: try_cast(trim(x) AS BIGINT)) AS e FROM s),
+p AS (SELECT marker_key, paper_id, raw, i, unnest(CASE WHEN len(e) = 2 AND e[2] > e[1] THEN range(e[1], least(e[2], e[1] + 99) + 1) ELSE [e[1]] END) AS number FROM o),
+l AS (SELECT paper_id, marker, arg_max(id, (entry_ix, entry_key)) AS id FROM {_E.replace("entry_ix, raw_text", "entry_ix, marker, raw_text")} WHERE marker IS NOT NULL AND id IS NOT NULL GROUP BY 1, 2)
+SELECT marker_key, CASE WHEN count(l.id) > 0 THEN '\cite{{' || string_agg(l.id, ',' ORDER BY i, number) || '}}' ELSE raw END AS latex
+FROM p LEFT JOIN l ON l.paper_id = p.paper_id AND l.marker = CAST(p.number AS VARCHAR) GROUP BY marker_key, raw""",
     "library_listing": f"SELECT paper_id, count(*) AS n_entries, max(recorded_at) AS uploaded_at FROM {_E} GROUP BY paper_id ORDER BY uploaded_at DESC, paper_id LIMIT 20",
     "citations_table": f"""WITH {_TIMES}, r AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY entry_ix, entry_key) AS place FROM {_E})
 SELECT entry_key, place, CASE WHEN coalesce(len(csl.author), 0) = 0 THEN '—' WHEN len(csl.author) = 1 THEN {_NAME.format(1)} WHEN len(csl.author) = 2 THEN {_NAME.format(1)} || ' & ' || {_NAME.format(2)} ELSE {_NAME.format(1)} || ' et al.' END AS label,

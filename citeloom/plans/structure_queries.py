@@ -124,6 +124,21 @@ def parsed_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.abstracts(once(table(spark, sf_dir, "sections", "paper_id", "section_ix", "heading", "paragraphs")))
 
 
+def parsed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries read off the lines under headings of references."""
+    return parsing.parse(_lines(spark, sf_dir)).entries.select("paper_id", F.col("entry_ix").cast("long"), "marker", "text", "doi", "year", "title")
+
+
+def parsed_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What went wrong in parsing, a row a paper, stage and kind."""
+    return parsing.parse(_lines(spark, sf_dir)).failures
+
+
+def segment_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before the first number, too short entries and gaps of documents' numbered lists."""
+    return ops.segment_failures(_document_lines(spark, sf_dir))
+
+
 def layout_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers by the number of columns their pages have."""
     pages = _lines(spark, sf_dir).groupBy("paper_id", "page").agg((F.coalesce(F.max("col_no"), F.lit(0)) + 1).alias("columns"))
@@ -195,6 +210,15 @@ c AS (SELECT doc_id, line_no, marker, CASE WHEN marker = '' THEN text WHEN style
   CAST(sum(CASE WHEN marker <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS entry_ix FROM p),
 j AS (SELECT doc_id, entry_ix, max(marker) AS marker, {_SQUEEZE.format(_JOIN)} AS text FROM c WHERE entry_ix > 0 GROUP BY 1, 2)
 SELECT *, len(text) < 20 AS too_short FROM j""",
+    "segment_failures": rf"""
+WITH {_DOC_LINES}, {_STYLE},
+p AS (SELECT doc_id, line_no, CASE WHEN style = 'bracket' THEN regexp_extract(text, '^\[(\d{{1,3}})\]\s*', 1) ELSE regexp_extract(text, '^(\d{{1,3}})\.\s+\S', 1) END AS marker, style, text FROM dl JOIN style USING (doc_id) WHERE style <> 'hanging-indent'),
+c AS (SELECT doc_id, line_no, marker, CASE WHEN marker = '' THEN text WHEN style = 'bracket' THEN regexp_replace(text, '^\[(\d{{1,3}})\]\s*', '') ELSE regexp_replace(text, '^(\d{{1,3}})\.\s+', '') END AS text,
+  CAST(sum(CASE WHEN marker <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS entry_ix FROM p),
+j AS (SELECT doc_id, entry_ix, max(marker) AS marker, {_SQUEEZE.format(_JOIN)} AS text FROM c WHERE entry_ix > 0 GROUP BY 1, 2),
+g AS (SELECT doc_id, try_cast(marker AS INTEGER) AS k, lag(try_cast(marker AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY entry_ix) AS before FROM j)
+SELECT doc_id, 'preamble' AS kind, count(*) AS n FROM c WHERE entry_ix = 0 AND doc_id IN (SELECT doc_id FROM j) GROUP BY 1
+UNION ALL SELECT doc_id, 'too-short', count(*) FROM j WHERE len(text) < 20 GROUP BY 1 UNION ALL SELECT doc_id, 'sequence-gap', count(*) FROM g WHERE k <> before + 1 GROUP BY 1""",
     "ref_segment_hanging": rf"""
 WITH m AS (SELECT *, min(x_pos) OVER (PARTITION BY paper_id, page, col_no) AS margin, row_number() OVER (PARTITION BY paper_id ORDER BY line_no) AS rn FROM {_L} WHERE text IS NOT NULL AND x_pos IS NOT NULL),
 s AS (SELECT paper_id, line_no, text, CAST(sum(CAST(rn = 1 OR (x_pos <= margin + 2 AND (regexp_matches(text, '^[A-Z][\p{{L}}''’-]+,?\s') OR regexp_matches(text, '^([A-Z]\.[\s-]?)+[A-Z][\p{{L}}''’-]+') OR regexp_matches(text, '^[A-Z][\w@&''’-]{{1,40}}\.\s+[A-Z0-9]'))) AS INTEGER)) OVER (PARTITION BY paper_id ORDER BY line_no) AS BIGINT) AS entry_ix FROM m),
@@ -224,6 +248,6 @@ QUERIES = {
     for f in (
         body_font_mode, furniture_lines, heading_classes, paper_titles, reading_order, paragraph_islands, noise_lines, markdown_tables, table_line_runs,
         citation_runs, ref_list_style, ref_segment_numbered, ref_segment_hanging, sequence_gaps, reference_regions, section_labels,
-        parsed_sections, parsed_markers, parsed_abstracts, layout_labels,
+        parsed_sections, parsed_markers, parsed_abstracts, parsed_entries, parsed_failures, segment_failures, layout_labels,
     )
 }

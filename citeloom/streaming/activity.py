@@ -5,6 +5,7 @@ All of them are the same functions in batch and in a stream; event time is the c
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -41,24 +42,43 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 # ---------------------------------------------------------------- resumable work
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def run_ledger(stream: DataFrame, ledger: str, output: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]):
-    """Run ``work`` over a stream of units (unit_id, ...) that a ledger has not as done; a batch that is tried
-    again finds its units in the ledger and does nothing, so every unit counts once.
+    """Run ``work`` over a stream of units (unit_id, ...) that a ledger has not as done.
+
+    Each batch has a folder of its own in output and ledger, named by the checkpoint and its number, which a
+    second try overwrites; a batch counts when the ledger has it, so ``committed`` reads every unit once, also if
+    a run dies between output and ledger.
     """
+    name = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        mine = f"{name}-{epoch:08d}"
+        todo = batch.dropDuplicates(["unit_id"])
+        if _exists(spark, ledger):
+            done = spark.read.parquet(ledger).filter(F.col("batch") != mine).select("unit_id").distinct()
+            todo = todo.join(done, "unit_id", "left_anti")
+        todo = todo.persist()
         try:
-            done = spark.read.parquet(ledger).select("unit_id").distinct()
-        except Exception:  # the first batch: there is no ledger yet
-            done = spark.createDataFrame([], "unit_id long")
-        todo = batch.join(done, "unit_id", "left_anti").dropDuplicates(["unit_id"])
-        work(todo).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(output)
-        todo.select("unit_id").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(ledger)
+            work(todo).write.mode("overwrite").parquet(f"{output}/batch={mine}")
+            todo.select("unit_id").write.mode("overwrite").parquet(f"{ledger}/batch={mine}")
+        finally:
+            todo.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def committed(spark: SparkSession, ledger: str, output: str) -> DataFrame:
+    """The output of batches that the ledger has; what a crash left behind is not read."""
+    batches = spark.read.parquet(ledger).select("batch").distinct()
+    return spark.read.parquet(output).join(batches, "batch", "left_semi")
+
+
 def running_totals(stream: DataFrame):
     """(user_id, n, total) for each user, state kept across batches."""
 

@@ -71,7 +71,7 @@ EXPECTED = [(1, "targets", "ref-9"), (2, "targets", "ref-2"), (2, "targets", "re
 
 
 @pytest.mark.parametrize("most", [64 << 20, 16])
-def test_orphans_with_and_without_a_filter(spark, most):
+def test_orphans_with_filters_of_any_size(spark, most):
     m, e = _tables(spark)
     assert rows(orphans.orphan_references(m, e, max_filter_bytes=most).select("marker_key", "field", "ref_value")) == EXPECTED
 
@@ -89,9 +89,10 @@ def test_orphan_report_counts_every_reference(spark):
     assert sum(r["n_orphans"] for r in report) == len(EXPECTED)
 
 
-def test_filter_has_no_false_negative(spark):
+@pytest.mark.parametrize("most", [1 << 20, 512])
+def test_filter_has_no_false_negative(spark, most):
     keys = spark.range(3000).select(F.col("id").cast("string").alias("k"))
-    words, k = orphans.bloom_words(keys, ["k"], 3000, 0.01, 1 << 20)
+    words, k = orphans.bloom_words(keys, ["k"], 3000, 0.01, most)
     pdf = keys.select(*orphans._hashes("k")).toPandas()
     pos = orphans._positions(pdf["_h1"].to_numpy(), pdf["_h2"].to_numpy(), k, words.size * 64)
     import numpy as np
@@ -117,6 +118,12 @@ def test_heading_rules(spark, text, size, bold, expected):
     assert (None if h is None else tuple(h)) == expected
 
 
+def test_segment_failures(spark):
+    text = ["before", "[1] First entry that goes", "on in a second line", "[2] x.", "[4] Fourth entry with enough text"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "doc_id long, line_no int, text string")
+    assert rows(structure.segment_failures(df)) == [(1, "preamble", 1), (1, "sequence-gap", 1), (1, "too-short", 1)]
+
+
 def test_numbered_segments(spark):
     text = ["before", "[1] First entry that goes", "on in a second line", "[2] x.", "[3] Third entry with enough text", "[4] Fourth entry with enough text"]
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "doc_id long, line_no int, text string")
@@ -151,13 +158,27 @@ def test_longest_run_against_a_loop(spark):
 # ---------------------------------------------------------------- entries
 
 
-def test_authors_and_titles():
-    assert entries.author_list("Smith, J. A., van der Berg, K. and Ann Doe") == [("Smith", "J. A.", None), ("van der Berg", "K.", None), ("Doe", "Ann", None)]
-    assert entries.author_list("Jan van der Berg, A. Bell") == [("van der Berg", "Jan", None), ("Bell", "A.", None)]
-    assert entries.author_list("x" * 301) == []
-    assert entries.title_of("", ["A. Bell,", "“A quoted title of some length,” Journal"]) == "A quoted title of some length"
-    assert entries.title_of("", ["Smith, J. (2019). The title of the work. Journal, 3."]) == "The title of the work"
-    assert entries.title_of("", ["one"]) is None
+@pytest.mark.parametrize(
+    ("head", "expected"),
+    [
+        ("Smith, J. A., van der Berg, K. and Ann Doe", [("Smith", "J. A.", None), ("van der Berg", "K.", None), ("Doe", "Ann", None)]),
+        ("Jan van der Berg, A. Bell", [("van der Berg", "Jan", None), ("Bell", "A.", None)]), ("Llama3 Team", [(None, None, "Llama3 Team")]), ("x" * 301, []), ("", []), ("Doe, J. et al.", [("Doe", "J.", None)]),
+    ],
+)
+def test_authors_of_a_head(spark, head, expected):
+    r = spark.createDataFrame([(head,)], "h string").select(entries.authors_of(F.col("h")).alias("a")).first()
+    assert [tuple(x) for x in r["a"]] == expected
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("A. Bell, “A quoted title of some length,” Journal of It", "A quoted title of some length"), ("Smith, J. (2019). The title of the work. Journal, 3.", "The title of the work"), ("one", None),
+        ("Bell, Anna. A third way to do it. Journal of It. 2001;3:1-2.", "A third way to do it"),
+    ],
+)
+def test_titles_of_entries(spark, text, expected):
+    assert entries.entry_fields(spark.createDataFrame([(1, text)], "k long, text string"), "k").first()["title"] == expected
 
 
 def test_entry_fields_of_raw_text(spark):
@@ -219,6 +240,28 @@ def test_author_years_are_linked_or_reported(spark):
     assert got == {(1, "doe"): ("linked", 1), (1, "roe"): ("ambiguous", None), (2, "poe"): ("unresolved", None)}
 
 
+def test_narrative_cites_and_all_years_are_linked(spark):
+    e = spark.createDataFrame(
+        [(1, "p", "Doe, J. (2023).", ([("Doe", "J", None)], [[2023]])), (2, "p", "Doe, J. (2024a).", ([("Doe", "J", None)], [[2024]])), (3, "p", "Doe, J. (2024b).", ([("Doe", "J", None)], [[2024]])), (4, "p", None, ([(None, None, "de la Roe Group")], [[2001]])), (5, "p", "x", None)],
+        "entry_key long, paper_id string, raw_text string, csl struct<author:array<struct<family:string,given:string,literal:string>>,issued:array<array<int>>>",
+    )
+    m = spark.createDataFrame([(1, "p", "(Doe, 2023, 2024a,b)"), (2, "p", "Doe et al. (2023)"), (3, "p", "(de la Roe, 2001)"), (4, "p", "[3]")], "marker_key long, paper_id string, raw string")
+    got = {(r["marker_key"], r["year"], r["letter"]): (r["outcome"], r["entry_key"]) for r in markers.link_author_years(m, e).collect()}
+    assert got == {(1, 2023, ""): ("linked", 1), (1, 2024, "a"): ("linked", 2), (1, 2024, "b"): ("linked", 3), (2, 2023, ""): ("linked", 1), (3, 2001, ""): ("linked", 4)}
+
+
+def test_superscript_numbers_are_linked(spark):
+    e = spark.createDataFrame([(1, "p", "a", 0, "4"), (2, "p", "b", 1, "5")], "entry_key long, paper_id string, id string, entry_ix int, marker string")
+    m = spark.createDataFrame([(1, "p", "⟦^4–5⟧")], "marker_key long, paper_id string, raw string")
+    assert rows(markers.link_numbers(m, e)) == [(1, 4, 1), (1, 5, 2)]
+
+
+def test_cite_commands_keep_what_is_unknown(spark):
+    e = spark.createDataFrame([(1, "p", "a", 0, "1"), (2, "p", "b", 1, "3")], "entry_key long, paper_id string, id string, entry_ix int, marker string")
+    m = spark.createDataFrame([(1, "p", "[3, 1-2]"), (2, "p", "[9]"), (3, "q", "[1]"), (4, "p", None)], "marker_key long, paper_id string, raw string")
+    assert rows(export.cite_markers(m, e)) == [(1, "\\cite{b,a}"), (2, "[9]"), (3, "[1]")]
+
+
 def test_last_entry_of_a_number_wins(spark):
     e = spark.createDataFrame([(1, "p", "a", 0, "1"), (2, "p", "b", 1, "1"), (3, "p", "c", 2, None)], "entry_key long, paper_id string, id string, entry_ix int, marker string")
     m = spark.createDataFrame([(1, "p", "[1, 3]")], "marker_key long, paper_id string, raw string")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from citeloom.streaming import activity
@@ -26,7 +27,23 @@ def test_ledger_counts_every_unit_once(spark, tmp_path):
     for attempt in ("one", "two"):  # a second run with a new checkpoint finds all units done
         stream = spark.readStream.schema(units.schema).parquet(str(tmp_path / "in"))
         activity.run_ledger(stream, *paths, str(tmp_path / f"cp-{attempt}"), lambda df: df).awaitTermination(60)
-    assert spark.read.parquet(paths[1]).count() == 20
+    assert activity.committed(spark, *paths).count() == 20
+
+
+def test_ledger_survives_a_crash_between_output_and_ledger(spark, tmp_path):
+    units = spark.range(12).withColumnRenamed("id", "unit_id")
+    units.write.parquet(str(tmp_path / "in"))
+    ledger, out, cp = (str(tmp_path / x) for x in ("ledger", "out", "cp"))
+
+    def dies(df):
+        df.write.mode("overwrite").parquet(f"{out}/batch=left-behind")
+        raise RuntimeError("lost")
+
+    stream = lambda: spark.readStream.schema(units.schema).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="lost"):
+        activity.run_ledger(stream(), ledger, out, cp, dies).awaitTermination(60)
+    activity.run_ledger(stream(), ledger, out, cp, lambda df: df).awaitTermination(60)
+    assert sorted(r["unit_id"] for r in activity.committed(spark, ledger, out).collect()) == list(range(12))
 
 
 def test_state_is_kept_across_batches(spark, tmp_path):
