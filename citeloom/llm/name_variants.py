@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from citeloom.llm.canonical_text import canonical
 from citeloom.operators.graph import connected_components
 from citeloom.session import materialize
+from citeloom.sources.spread import spread
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,7 @@ def _plain(s: str) -> str:
     return "".join(c for c in s if not unicodedata.combining(c)).replace("ø", "o").replace("Ø", "O").replace("ł", "l").replace("Ł", "L").replace("ß", "ss")
 
 
+@lru_cache(200_000)
 def is_kind(token: str) -> bool:
     return token in KIND_ABBREVIATIONS or token in _STEMS or any(len(token) > 5 and edit_distance(token, k, 1) <= 1 for k in _STEMS if k[0] == token[0])
 
@@ -216,11 +218,22 @@ def content_score(a: list[str], b: list[str], weight_a: list[float], weight_b: l
     return shared / max(total + sum(w for _, w in rest), 1e-9)
 
 
-def similarity(a: list[str], b: list[str], key_a: str, key_b: str, weight_a: list[float], weight_b: list[float]) -> float:
-    """Soft weighted similarity of two names that share the rare token key_a ~ key_b; 0 where they contradict."""
+def _taken_apart(name: str) -> tuple[list[str], list[float], dict[str, str], bool]:
+    """(tokens, their weights, leads of words, whether an organisation) of a name as ``name_groups`` writes it."""
+    tokens, _, known = name.partition("\t")
+    tokens, words = tokens.split(" "), [x.split(":") for x in known.split(" ") if x]
+    weight = {t: float(w) for t, w, _ in words}
+    return tokens, [weight.get(t[2:], 0.5) if t[0] == "w" else 0.5 for t in tokens], {t: lead for t, _, lead in words}, any(t[0] == "w" and is_kind(t[2:]) for t in tokens)
+
+
+def similarity(a: list[str], b: list[str], key_a: str, key_b: str, weight_a: list[float], weight_b: list[float], may_a: bool = True, may_b: bool = True) -> float:
+    """Soft weighted similarity of two names that share the rare token key_a ~ key_b; 0 where they contradict.
+
+    may_a, may_b: False where a name is known to have no kind of organisation.
+    """
     fa, fb = f"w:{key_a}", f"w:{key_b}"
     rest_a, rest_b = [t for t in a if t != fa], [t for t in b if t != fb]
-    org_a, org_b = (any(t[0] == "w" and is_kind(t[2:]) for t in r) for r in (rest_a, rest_b))
+    org_a, org_b = (may and any(t[0] == "w" and is_kind(t[2:]) for t in r) for may, r in ((may_a, rest_a), (may_b, rest_b)))
     acronym_a, acronym_b = (len(r) == 1 and r[0][0] == "a" for r in (rest_a, rest_b))
     if org_a or org_b:
         if org_a and org_b:
@@ -269,8 +282,8 @@ def token_neighbours(tokens: DataFrame, p: Params) -> DataFrame:
     one = less(t)
     two = F.when(F.length(t) >= 8, F.flatten(F.transform(one, less))).otherwise(F.array().cast("array<string>"))
     keys = F.array_distinct(F.transform(F.concat(F.array(t), one, two), lambda x: F.xxhash64(x)))
-    spread = tokens.filter(F.length(t) >= p.least_typo).select("t", F.explode(keys).alias("k"))
-    met = spread.join(spread.select(F.col("t").alias("u"), "k"), "k").filter("t < u AND abs(length(t) - length(u)) <= 2").select("t", "u").distinct()
+    rows = spread(tokens.filter(F.length(t) >= p.least_typo).select("t")).select("t", F.explode(keys).alias("k"))
+    met = rows.join(rows.select(F.col("t").alias("u"), "k"), "k").filter("t < u AND abs(length(t) - length(u)) <= 2").select("t", "u").distinct()
 
     @F.pandas_udf(T.BooleanType())
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -344,26 +357,24 @@ def name_groups(names: DataFrame, p: Params = Params()) -> DataFrame:
     full = materialize(reps.join(weighed, "id").select("id", "tokens", "letters", "org", "ws", "top"), "names-full")
     links = near.filter(F.least(F.length("t"), F.length("u")) >= p.least_letters).unionByName(df.select("t", F.col("t").alias("u")))
     met = materialize(_candidates(full, links, p), "names-met")
-    side = full.select("id", "tokens", F.transform("ws", lambda x: x["t"]).alias("names"), F.transform("ws", lambda x: x["w"]).alias("weights"), F.transform("ws", lambda x: x["lead"]).alias("leads"))
-    left = side.select([F.col(c).alias(f"{c}_a") for c in side.columns])
-    right = side.select([F.col(c).alias(f"{c}_b") for c in side.columns])
-    cand = met.join(left, met.a == left.id_a).join(right, met.b == right.id_b)
+    # One string a name, which Python takes apart once for all its pairs.
+    known = F.array_join(F.transform("ws", lambda x: F.concat_ws(":", x["t"], F.round(x["w"], 4).cast("string"), x["lead"])), " ")
+    side = full.select("id", F.concat_ws("\t", F.array_join("tokens", " "), known).alias("name"))
+    cand = met.join(side.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a").join(side.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b")
 
     def verify(batches):
+        taken = lru_cache(20_000)(_taken_apart)
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                wa, wb = dict(zip(r.names_a, r.weights_a)), dict(zip(r.names_b, r.weights_b))
-                ta, tb = list(r.tokens_a), list(r.tokens_b)
-                va, vb = ([w.get(t[2:], 0.5) if t[0] == "w" else 0.5 for t in ts] for ts, w in ((ta, wa), (tb, wb)))
-                org = any(t[0] == "w" and is_kind(t[2:]) for t in ta + tb)
-                if similarity(ta, tb, r.t, r.u, va, vb) >= (p.organisation_score if org else p.score):
-                    lead_a, lead_b = dict(zip(r.names_a, r.leads_a)), dict(zip(r.names_b, r.leads_b))
-                    ga, gb = ("#" if org else " ".join(f"{x[:2]}{_full(lead.get(x[2:], x[2:]))}" for x in _givens(ts, f"w:{k}")) for ts, k, lead in ((ta, r.t, lead_a), (tb, r.u, lead_b)))
-                    out.append((r.a, r.b, ga, gb))
+            for a, b, t, u, name_a, name_b in zip(*(pdf[c] for c in ("a", "b", "t", "u", "name_a", "name_b"))):
+                (ta, va, lead_a, org_a), (tb, vb, lead_b, org_b) = taken(name_a), taken(name_b)
+                org = org_a or org_b
+                if similarity(ta, tb, t, u, va, vb, org_a, org_b) >= (p.organisation_score if org else p.score):
+                    ga, gb = ("#" if org else " ".join(f"{x[:2]}{_full(lead.get(x[2:], x[2:]))}" for x in _givens(ts, f"w:{k}")) for ts, k, lead in ((ta, t, lead_a), (tb, u, lead_b)))
+                    out.append((a, b, ga, gb))
             yield pd.DataFrame(out, columns=["a", "b", "ga", "gb"])
 
-    verified = cand.select("a", "b", "t", "u", *[c for c in left.columns + right.columns if not c.startswith("id_")])
+    verified = cand.select("a", "b", "t", "u", "name_a", "name_b")
     good = verified.mapInPandas(verify, "a long, b long, ga string, gb string").groupBy("a", "b").agg(F.min(F.struct("ga", "gb")).alias("x")).select("a", "b", "x.*")
     good = materialize(good, "names-good")
     edges = materialize(_unambiguous(good), "names-edges")
