@@ -250,6 +250,13 @@ def test_best_record_among_many_of_one_title(spark):
     assert rows(got) == [(1, 7, "openalex", 1.0, "verified"), (2, 6, "semanticscholar", 1.0, "verified"), (3, 5, "openalex", 1.0, "verified")]
 
 
+def test_unmatched_works_of_repeated_titles(spark):
+    e = spark.createDataFrame([(i, "Editorial notes", None) for i in range(30)] + [(99, None, "10.1/X")], "entry_key long, title string, doi string")
+    w = [(i, "Notes, editorial", 2001, None) for i in range(30)] + [(50, "?", None, None), (51, "Another title", 2001, "10.1/x"), (52, "Another title", 2030, None), (53, "Another title", 0, None), (54, None, 2001, None)]
+    works = spark.createDataFrame(w, "work_key long, title string, year int, doi string")
+    assert rows(entries.unmatched_works(works, e, 2020)) == [(50,), (53,)]
+
+
 def test_rows_of_repeated_keys_collapse(spark):
     from citeloom.sources.tables import once, once_by_key
 
