@@ -507,3 +507,11 @@ def test_tails_are_exact_ranks(spark):
     values = sorted(r["n_words"] for r in stats.collect())
     for r in tq.tails(stats).filter("stat = 'n_words'").collect():
         assert r["low"] == pytest.approx(sum(v <= r["value"] for v in values) / 20) and r["high"] == pytest.approx(sum(v >= r["value"] for v in values) / 20)
+
+
+def test_thresholds_of_documents_come_from_all_rows(spark):
+    """The one row of junk with a low score is the last in the order of hashes, far behind the first 20,000."""
+    rows = spark.range(20_200).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(10).alias("chars"), F.lit(0).alias("prose_chars"), F.xxhash64("id").alias("h"))
+    last = rows.agg(F.max("h")).first()[0]
+    scores = rows.withColumn("outlier_score", F.when(F.col("h") == last, 1.0).otherwise(7.0))
+    assert [tuple(r) for r in tq.thresholds(scores).collect()] == [("en", 1.0)]
