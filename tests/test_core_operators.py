@@ -250,6 +250,15 @@ def test_best_record_among_many_of_one_title(spark):
     assert rows(got) == [(1, 7, "openalex", 1.0, "verified"), (2, 6, "semanticscholar", 1.0, "verified"), (3, 5, "openalex", 1.0, "verified")]
 
 
+def test_all_pairs_of_repeated_keys_and_titles(spark, monkeypatch):
+    """Rows keep their number, also where only the most frequent word is ranked."""
+    monkeypatch.setattr(entries, "FREQUENT", 1)
+    left = spark.createDataFrame([(1, "Editorial notes"), (1, "Editorial notes"), (2, "Notes editorial"), (3, "!")], "l long, t string")
+    right = spark.createDataFrame([(1, "Editorial: notes"), (2, None), (3, "editorial notes again")], "r long, t string")
+    got = entries.similar_titles(entries.tokens(left, "l", F.col("t")), entries.tokens(right, "r", F.col("t")), "l", "r")
+    assert rows(got) == [(1, 1, 1.0), (1, 1, 1.0), (2, 1, 1.0)]
+
+
 def test_unmatched_works_of_repeated_titles(spark):
     e = spark.createDataFrame([(i, "Editorial notes", None) for i in range(30)] + [(99, None, "10.1/X")], "entry_key long, title string, doi string")
     w = [(i, "Notes, editorial", 2001, None) for i in range(30)] + [(50, "?", None, None), (51, "Another title", 2001, "10.1/x"), (52, "Another title", 2030, None), (53, "Another title", 0, None), (54, None, 2001, None)]
