@@ -291,6 +291,16 @@ def test_unmatched_works_of_repeated_titles(spark):
     assert rows(entries.unmatched_works(works, e, 2020)) == [(50,), (53,)]
 
 
+def test_unmatched_works_meet_in_stages(spark, monkeypatch):
+    """No two ways to meet hold their keys on disk at once."""
+    labels = []
+    monkeypatch.setattr(entries, "materialize", lambda df, label: labels.append(label) or session.materialize(df, label))
+    known = spark.createDataFrame([(1, None, "notes on mud of small rivers")], "entry_key long, doi string, title string")
+    works = spark.createDataFrame([(7, None, "Notes on mud of rivers", 2001), (8, None, "stars", 2001)], "work_key long, doi string, title string, year int")
+    assert [r.work_key for r in entries.unmatched_works(works, known).collect()] == [8]
+    assert labels.count("similar-met") == 3
+
+
 def test_rows_of_repeated_keys_collapse(spark):
     from citeloom.sources.tables import once, once_by_key
 
