@@ -14,7 +14,9 @@ Method
        sub-grids hold the same few bits at every size, the chance to meet depends on the similarity alone,
        not on the length: above 0.99 from a similarity of 0.7 on (``tests/llm`` measures it by length).
     4. A pair that met is kept when the sizes and the Manhattan distance of the folded embedding (512 segments,
-       counts modulo two, compared as bits in the JVM) do not exceed what the similarity allows.
+       counts modulo two, compared as bits in the JVM) do not exceed what the similarity allows.  Half of the
+       segments are folded onto the others where records meet, so that only what passes there is written; the cells
+       are joined in rounds by their number, so that the rows of one round at a time take disk.
     5. What is left is verified exactly: Jaccard similarity of the trigram sets.
     6. Verified pairs are closed to groups by distributed connected components.
 
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.operators.graph import connected_components
-from citeloom.session import materialize
+from citeloom.session import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -59,6 +61,7 @@ class Params:
 
 
 WORDS = [f"w{i}" for i in range(8)]  # the folded embedding, 64 segments a word
+ROUNDS, ROUND_RECORDS = 8, 25_000  # most rounds in which cells are joined, records from which another round is worth it
 _STRATUM_CHARS = 2_000_000  # characters handled at once; bounds memory, not results
 
 
@@ -139,7 +142,7 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
 
 
 def embedded(items: DataFrame, p: Params) -> DataFrame:
-    """Items (id, skeleton) with their size, folded embedding and the array of their cells."""
+    """Items (id, skeleton) with their size, folded embedding and the array of their cells, of which 32 bits are enough to meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _portions(batches):
@@ -150,9 +153,9 @@ def embedded(items: DataFrame, p: Params) -> DataFrame:
             order = np.argsort(row, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]).astype(np.int32)
             columns = [pa.array(ids), pa.array(size.astype(np.int32)), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(WORDS)))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(cell[order]))], names=["id", "size", *WORDS, "cells"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(cell[order].astype(np.int32)))], names=["id", "size", *WORDS, "cells"])
 
-    return items.mapInArrow(run, "id long, size int, " + ", ".join(f"{w} long" for w in WORDS) + ", cells array<long>")
+    return items.mapInArrow(run, "id long, size int, " + ", ".join(f"{w} long" for w in WORDS) + ", cells array<int>")
 
 
 def _side(df: DataFrame, name: str) -> DataFrame:
@@ -164,16 +167,26 @@ def _within(p: Params, distance: Column) -> Column:
     return distance <= F.lit((1 - p.doubtful) / (1 + p.doubtful)) * (F.col("a_size") + F.col("b_size"))
 
 
-def candidates(vectors: DataFrame, p: Params) -> DataFrame:
+def _distance(words: list[str]) -> Column:
+    return reduce(add, [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words])
+
+
+def candidates(vectors: DataFrame, p: Params, rounds: int = 1) -> DataFrame:
     """Pairs ``(a_id, b_id)`` that share a cell, within the bounds on sizes and on the Manhattan distance."""
-    cells = vectors.select(F.explode("cells").alias("cell"), "id", "size")
-    met = _side(cells, "a").join(_side(cells, "b"), F.col("a_cell") == F.col("b_cell"))
-    met = met.filter((F.col("a_id") < F.col("b_id")) & _within(p, F.abs(F.col("a_size") - F.col("b_size"))))
-    pairs = met.select("a_id", "b_id").distinct()
+    half = len(WORDS) // 2
+    folded = [F.col(w).bitwiseXOR(F.col(v)).alias(w) for w, v in zip(WORDS[:half], WORDS[half:])]
+
+    def met_in(turn: int) -> DataFrame:
+        mine = F.filter("cells", lambda c: F.pmod(c, F.lit(rounds)) == turn) if rounds > 1 else F.col("cells")
+        cells = vectors.select(F.explode(mine).alias("cell"), "id", "size", *folded)
+        met = _side(cells, "a").join(_side(cells, "b"), F.col("a_cell") == F.col("b_cell"))
+        met = met.filter((F.col("a_id") < F.col("b_id")) & _within(p, F.abs(F.col("a_size") - F.col("b_size"))) & _within(p, _distance(WORDS[:half])))
+        return materialize(met.select("a_id", "b_id").distinct(), "nd-met")
+
+    pairs = reduce(DataFrame.unionByName, map(met_in, range(rounds))).distinct()
     packed = vectors.select("id", "size", *WORDS)
     both = pairs.join(_side(packed, "a"), "a_id").join(_side(packed, "b"), "b_id")
-    distance = reduce(add, [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS])
-    return both.filter(_within(p, distance)).select("a_id", "b_id")
+    return both.filter(_within(p, _distance(WORDS))).select("a_id", "b_id")
 
 
 def trigrams(s: str) -> set[str]:
@@ -219,13 +232,17 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, p: Params = Param
     n_links counts the verified links of the record's representative.
     """
     base = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL").distinct()
-    bare = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
-    base = materialize(base.withColumn("skeleton", bare).withColumn("same", F.when(bare == "", F.concat(F.lit(" "), F.col("text"))).otherwise(bare)), "nd-base")
+    bare = F.col("skeleton")
+    same = F.unhex(F.md5(F.when(bare == "", F.concat(F.lit(" "), F.col("text"))).otherwise(bare)))
+    base = materialize(base.withColumn("skeleton", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")).withColumn("same", same), "nd-base")
     reps = base.groupBy("same").agg(F.min(F.struct("id", "text", "skeleton")).alias("r")).select("same", "r.*")
     reps = materialize(reps, "nd-reps")
+    members = materialize(base.select("id", "same"), "nd-keys")
+    discard(base)
     items = reps.filter("skeleton <> ''").select("id", "skeleton")
     vectors = materialize(embedded(items.repartition(F.col("id")), p), "nd-vectors")
-    near = materialize(candidates(vectors, p), "nd-near")
+    near = materialize(candidates(vectors, p, min(ROUNDS, 1 + vectors.count() // ROUND_RECORDS)), "nd-near")
+    discard(vectors)
     texts = reps.select("id", "skeleton", "text")
 
     @F.pandas_udf(T.BooleanType())
@@ -241,7 +258,7 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, p: Params = Param
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = reps.select("same", F.col("id").alias("node")).join(comp, "node", "left").join(degree, "node", "left")
     classes = classes.select("same", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    members = base.join(classes, "same").groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    members = members.join(classes, "same").groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
     return members.select(F.col("id").alias(key), "class_id", "n_links"), links
 
 

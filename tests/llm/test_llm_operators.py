@@ -15,6 +15,7 @@ from citeloom.llm import near_duplicates as nd
 from citeloom.llm import scan_repair as sr
 from citeloom.llm import text_quality as tq
 from citeloom.llm import tokenizer as tk
+from citeloom.session import materialize
 
 
 def rows(df):
@@ -80,6 +81,23 @@ def test_a_hot_cell_loses_no_pair(spark):
             spark.conf.set(n, v)
 
 
+def test_rounds_write_only_near_pairs_and_lose_none(spark, monkeypatch):
+    """What meets in a cell is dropped there unless the folded embedding lets it through, in any number of rounds."""
+    rng, p = random.Random(5), nd.Params()
+    head = "journal of rural education and practice volume of the proceedings"
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(90)) for _ in range(40)]
+    texts = [head + w for w in words] + [head + w[:-2] for w in words[:10]]
+    items = spark.createDataFrame([(i, t.replace(" ", "")) for i, t in enumerate(texts)], "id long, skeleton string")
+    vectors = nd.embedded(items, p).cache()
+    written = []
+    monkeypatch.setattr(nd, "materialize", lambda df, label: written.append(materialize(df, label)) or written[-1])
+    once, turns = (set(rows(nd.candidates(vectors, p, n))) for n in (1, 5))
+    cells = {r["id"]: set(r["cells"]) for r in vectors.collect()}
+    met = sum(bool(cells[i] & cells[j]) for i in cells for j in cells if i < j)
+    assert once == turns >= {(i, 40 + i) for i in range(10)}
+    assert len(written) == 6 and written[0].count() < met / 2
+
+
 def _edited(rng, length, jaccard):
     """A text of random letters and a copy with equally spread one-letter edits, of about that similarity."""
     letters = "abcdefghijklmnopqrstuvwxyz"
