@@ -14,9 +14,9 @@ Method
        sub-grids hold the same few bits at every size, the chance to meet depends on the similarity alone,
        not on the length: above 0.99 from a similarity of 0.7 on (``tests/llm`` measures it by length).
     4. A pair that met is kept when the sizes and the Manhattan distance of the folded embedding (512 segments,
-       counts modulo two, compared as bits in the JVM) do not exceed what the similarity allows.  Half of the
-       segments are folded onto the others where records meet, so that only what passes there is written; the cells
-       are joined in rounds by their number, so that the rows of one round at a time take disk.
+       counts modulo two, compared as bits in the JVM) do not exceed what the similarity allows.  This is asked
+       where records meet, so that only what passes is written; cells are joined in rounds by their number, so that
+       the rows of one round at a time, which carry the embedding, take disk.
     5. What is left is verified exactly: Jaccard similarity of the trigram sets.
     6. Verified pairs are closed to groups by distributed connected components.
 
@@ -61,7 +61,7 @@ class Params:
 
 
 WORDS = [f"w{i}" for i in range(8)]  # the folded embedding, 64 segments a word
-ROUNDS, ROUND_RECORDS = 8, 25_000  # most rounds in which cells are joined, records from which another round is worth it
+ROUNDS, ROUND_RECORDS = 16, 12_500  # most rounds in which cells are joined, records from which another round is worth it
 _STRATUM_CHARS = 2_000_000  # characters handled at once; bounds memory, not results
 
 
@@ -167,26 +167,18 @@ def _within(p: Params, distance: Column) -> Column:
     return distance <= F.lit((1 - p.doubtful) / (1 + p.doubtful)) * (F.col("a_size") + F.col("b_size"))
 
 
-def _distance(words: list[str]) -> Column:
-    return reduce(add, [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words])
-
-
 def candidates(vectors: DataFrame, p: Params, rounds: int = 1) -> DataFrame:
     """Pairs ``(a_id, b_id)`` that share a cell, within the bounds on sizes and on the Manhattan distance."""
-    half = len(WORDS) // 2
-    folded = [F.col(w).bitwiseXOR(F.col(v)).alias(w) for w, v in zip(WORDS[:half], WORDS[half:])]
+    distance = reduce(add, [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS])
 
     def met_in(turn: int) -> DataFrame:
         mine = F.filter("cells", lambda c: F.pmod(c, F.lit(rounds)) == turn) if rounds > 1 else F.col("cells")
-        cells = vectors.select(F.explode(mine).alias("cell"), "id", "size", *folded)
+        cells = vectors.select(F.explode(mine).alias("cell"), "id", "size", *WORDS)
         met = _side(cells, "a").join(_side(cells, "b"), F.col("a_cell") == F.col("b_cell"))
-        met = met.filter((F.col("a_id") < F.col("b_id")) & _within(p, F.abs(F.col("a_size") - F.col("b_size"))) & _within(p, _distance(WORDS[:half])))
+        met = met.filter((F.col("a_id") < F.col("b_id")) & _within(p, F.abs(F.col("a_size") - F.col("b_size"))) & _within(p, distance))
         return materialize(met.select("a_id", "b_id").distinct(), "nd-met")
 
-    pairs = reduce(DataFrame.unionByName, map(met_in, range(rounds))).distinct()
-    packed = vectors.select("id", "size", *WORDS)
-    both = pairs.join(_side(packed, "a"), "a_id").join(_side(packed, "b"), "b_id")
-    return both.filter(_within(p, _distance(WORDS))).select("a_id", "b_id")
+    return reduce(DataFrame.unionByName, map(met_in, range(rounds))).distinct()
 
 
 def trigrams(s: str) -> set[str]:
