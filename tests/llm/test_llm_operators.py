@@ -165,6 +165,22 @@ def test_names_are_grouped(spark):
     assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4, 5, 16], [6, 7], [8, 9], [10, 11, 12], [13]]
 
 
+def test_names_pass_the_driver_only_if_measured_as_few(spark, monkeypatch):
+    plans, write = {}, nv.materialize
+
+    def seen(df, label="stage"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(nv, "materialize", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    names = [(1, "Lindqvist", "Robert", None), (2, "Lindqvist", "Bob", None), (3, "Lindkvist", "R.", None), (4, "Okonkwo", "Amara", None)]
+    got = nv.name_pairs(spark.createDataFrame(names, "name_key long, family string, given string, literal string"))
+    assert {"names-tokens", "names-met", "names-good"} <= set(plans) and not [label for label, plan in plans.items() if "BroadcastHashJoin" in plan]
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+
+
 def test_vague_names_are_not_guessed(spark):
     vague = [(1, "Torvanmul", "Daniel", None), (2, "Torvanmul", "Deborah", None), (3, "Torvanmul", "D.", None), (4, "Torvanmul", None, None)]
     df = spark.createDataFrame(vague + _crowd(), "name_key long, family string, given string, literal string")
